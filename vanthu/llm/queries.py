@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vanthu.llm import lookalike, neardup, packing, splitting, tokenizer, truncation
+from vanthu.llm import lookalike, neardup, packing, scans, splitting, tokenizer, truncation
 from vanthu.runtime import table
 
 
@@ -24,6 +24,14 @@ def p2_pieces(spark, d):
     return splitting.split_oversized(table(spark, d, "chunks"))
 
 
+def p4_found(spark, d):
+    return scans.found(table(spark, d, "documents"), table(spark, d, "chunks"))
+
+
+def p4_paragraphs(spark, d):
+    return scans.paragraphs(table(spark, d, "documents"), table(spark, d, "chunks"))
+
+
 def p6_found(spark, d):
     return neardup.pairs(table(spark, d, "documents"), table(spark, d, "chunks"))
 
@@ -52,7 +60,7 @@ def p9_by_source(spark, d):
     return truncation.by_source(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p2_pieces, p6_found, p6_groups, p7_ids, p8_containers, p8_report, p9_found, p9_by_source)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p2_pieces, p4_found, p4_paragraphs, p6_found, p6_groups, p7_ids, p8_containers, p8_report, p9_found, p9_by_source)}
 
 _WORDS = "len(list_filter(regexp_split_to_array(text, '[\\s\\x1c-\\x1f\\x85\\p{Z}]+'), lambda w: w <> ''))"
 ORACLE_SQL = {
