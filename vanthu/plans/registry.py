@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vanthu.plans import general
+from vanthu.plans import general, searching
 
-MODULES = [general]
+MODULES = [searching, general]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def entry_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["p5_by_period"](spark, sf_dir)
+    return queries()["q_hybrid_search"](spark, sf_dir)
