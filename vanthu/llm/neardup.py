@@ -30,7 +30,7 @@ MIN_WORDS, RUN = 50, 3
 SLOTS, BANDS, ROWS = 96, 64, 3  # two partitions of the slots into bands of three
 COMMON = 0.1
 RADIUS = 54  # of 128 bits: a pair at one half differs in 32 bits on average, unrelated ones in 64, with deviations of 5 to 6
-ALONE = 46  # the radius for pairs that meet in one shard only
+ALONE, TWICE = 38, 46  # the radius for pairs that meet in one or two shards only
 LEAF = 32
 SHARD_LIMIT = 8192  # members of one shard handled in one task; larger shards are split around vantage points
 BLOOM_BITS = 1 << 22
@@ -281,11 +281,11 @@ def _shard_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(sigs: DataFrame) -> DataFrame:
-    """(t, a, b): pairs of representatives within the radius in two shards, or within a smaller one in one."""
+    """(t, a, b): pairs of representatives within the radius that meet in several shards, or within a smaller one in few."""
     placed = sigs.select("t", "id", "n", "sig", "sig2").mapInArrow(_to_shards, "shard long, id long, bits0 long, bits1 long, tn int")
     sharded = placed.repartition("shard").sortWithinPartitions("shard")
     near = sharded.mapInArrow(_shard_pairs, "t int, a long, b long, d short").groupBy("t", "a", "b").agg(F.count(F.lit(1)).alias("k"), F.min("d").alias("d"))
-    return near.where((F.col("k") > 1) | (F.col("d") <= ALONE)).select("t", "a", "b")
+    return near.where(F.col("d") <= F.when(F.col("k") == 1, ALONE).when(F.col("k") == 2, TWICE).otherwise(RADIUS)).select("t", "a", "b")
 
 
 def _bloom(ids: DataFrame) -> np.ndarray:
@@ -339,11 +339,11 @@ def exact_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
                     keep.append(k)
             yield batch.select([0, 1, 2]).take(pa.array(keep, pa.int64()))
 
-    sets = rows.withColumn("h", _hash("t", "id")).mapInArrow(run, "t int, id long, runs binary").dropDuplicates(["t", "id"])
-    sets = cut(sets)
+    sets = rows.withColumn("h", _hash("t", "id")).mapInArrow(run, "t int, id long, runs binary")
+    sets = cut(sets)  # rows delivered twice are here twice; the pairs are made distinct
     a = sets.select("t", F.col("id").alias("a"), F.col("runs").alias("x"))
     b = sets.select("t", F.col("id").alias("b"), F.col("runs").alias("y"))
-    return pairs.join(a, ["t", "a"]).join(b, ["t", "b"]).select("t", "a", "b", "x", "y").mapInArrow(check, "t int, a long, b long")
+    return pairs.join(a, ["t", "a"]).join(b, ["t", "b"]).select("t", "a", "b", "x", "y").mapInArrow(check, "t int, a long, b long").distinct()
 
 
 TABLES = ("documents", "chunks")
