@@ -6,8 +6,8 @@ A single tree over all records would prune nothing: unrelated records lie at nea
 point. The records are therefore partitioned into overlapping shards first (each record is in one shard for each band of
 min-hash slots, so two versions that lie on both sides of one shard's boundary meet in another), and each shard has its tree.
 
-Runs that at least a tenth of all records hold (letterheads, set phrases) are left out of the slots unless they make up
-half of a record; near that half a record is placed both ways. Exact copies are one record until the end.
+Runs that at least a tenth of all records hold (letterheads, set phrases) are left out of the slots where enough others are
+left; a record of which they make up a fifth or more is placed with them as well. Exact copies are one record until the end.
 
 Words are the pieces of the lower-cased text split at white space. Two records are a pair if the number of different runs
 of three words in both is at least half the number in either, both have 50 words or more, and their ids differ. Defined
@@ -27,16 +27,20 @@ from pyspark.sql import DataFrame, functions as F
 from vanthu.runtime import cut
 
 MIN_WORDS, RUN = 50, 3
-SLOTS, BANDS, ROWS = 96, 64, 3  # two partitions of the slots into bands of three
+SLOTS = 96
+#: (bands, slots in a band) without the common runs, and with them
+BANDS = ((48, 3), (24, 4))
 COMMON = 0.1
-RADIUS = 54  # of 128 bits: a pair at one half differs in 32 bits on average, unrelated ones in 64, with deviations of 5 to 6
+RADIUS = (54, 44)  # of 128 bits, without the common runs and with them: a pair at one half differs in 32 bits on average, unrelated ones in 64, with deviations of 5 to 6
 ALONE, TWICE = 38, 46  # the radius for pairs that meet in one or two shards only
+#: Records are placed without the common runs if at least the first share of their runs is left, and with them if less than the second is.
+RARE_FROM, WHOLE_BELOW = 0.3, 0.8
 LEAF = 32
-SHARD_LIMIT = 8192  # members of one shard handled in one task; larger shards are split around vantage points
+SHARD_LIMIT = 8192  # members of one shard compared in one task; the pairs of a larger shard are spread over tiles of half that size
 BLOOM_BITS = 1 << 22
 _rng = np.random.default_rng(20240607)
 _MULTIPLIERS = (_rng.integers(1, 1 << 32, SLOTS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
-_LAYOUT = np.concatenate([_rng.permutation(SLOTS).reshape(-1, ROWS) for _ in range(BANDS * ROWS // SLOTS)])
+_LAYOUT = [np.concatenate([_rng.permutation(SLOTS).reshape(-1, r) for _ in range(-(-b * r // SLOTS))])[:b] for b, r in BANDS]
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -151,7 +155,7 @@ def signatures(rows: DataFrame, common: np.ndarray) -> DataFrame:
             first: list[bytes | None] = [None] * len(ids)
             second: list[bytes | None] = [None] * len(ids)
             for use_rare, into in ((True, first), (False, second)):
-                rows_in = np.flatnonzero(share >= 0.4) if use_rare else np.flatnonzero(share < 0.6)
+                rows_in = np.flatnonzero(share >= RARE_FROM) if use_rare else np.flatnonzero(share < WHOLE_BELOW)
                 if not len(rows_in):
                     continue
                 mask = np.repeat(np.isin(np.arange(len(ids)), rows_in), sizes)
@@ -170,12 +174,14 @@ def signatures(rows: DataFrame, common: np.ndarray) -> DataFrame:
 
 
 def _to_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shard, id, bits0, bits1, tn): every record in one shard for each band; tn is twice the number of runs, plus t."""
+    """(shard, id, bits0, bits1, tn): every record in one shard for each band; tn is four times the number of runs, plus two where common runs count, plus t."""
     for batch in batches:
         t = np.asarray(batch.column(0), dtype=np.uint64)
         i = np.asarray(batch.column(1), dtype=np.int64)
         n = np.asarray(batch.column(2), dtype=np.int32)
-        for kind in (3, 4):
+        for whole, kind in enumerate((3, 4)):
+            layout = _LAYOUT[whole]
+            bands = len(layout)
             at = np.flatnonzero([v is not None for v in batch.column(kind).to_pylist()])
             if not len(at):
                 continue
@@ -183,12 +189,12 @@ def _to_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = np.packbits(np.concatenate([sig & 1, (sig[:, :32] >> 1) & 1], axis=1).astype(np.uint8), axis=1).view(np.int64)
             for lo in range(0, len(at), 2000):
                 s = slice(lo, lo + 2000)
-                packed = np.zeros((len(sig[s]), BANDS), dtype=np.uint64)
-                for c in range(ROWS):
-                    packed = (packed << np.uint64(16)) | sig[s][:, _LAYOUT[:, c]]
-                keys = _mix(_mix(packed) + (np.arange(BANDS, dtype=np.uint64) + np.uint64(1)) * _M1 + t[at[s], None] * _M2 + np.uint64(kind) * _M3)
+                packed = np.zeros((len(sig[s]), bands), dtype=np.uint64)
+                for c in range(layout.shape[1]):
+                    packed = (packed << np.uint64(16)) | sig[s][:, layout[:, c]]
+                keys = _mix(_mix(packed) + (np.arange(bands, dtype=np.uint64) + np.uint64(1)) * _M1 + t[at[s], None] * _M2 + np.uint64(kind) * _M3)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel().view(np.int64)), *(pa.array(np.repeat(v, BANDS)) for v in (i[at[s]], bits[s, 0], bits[s, 1], 2 * n[at[s]] + t[at[s]].astype(np.int32)))],
+                    [pa.array(keys.ravel().view(np.int64)), *(pa.array(np.repeat(v, bands)) for v in (i[at[s]], bits[s, 0], bits[s, 1], 4 * n[at[s]] + 2 * whole + t[at[s]].astype(np.int32)))],
                     names=["shard", "id", "bits0", "bits1", "tn"],
                 )
 
@@ -242,34 +248,42 @@ class VantageTree:
         return np.concatenate(left), np.concatenate(right)
 
 
-def _shard_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of rows sorted by shard: (t, a, b, d). Small shards of one size are compared together."""
+def _shard_pairs(batches: Iterator[pa.RecordBatch], limit: int | None = SHARD_LIMIT) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of rows sorted by shard: (t, a, b, d). Small shards are compared together.
 
-    def out(ids, bits, tn, x, y) -> pa.RecordBatch:
-        n, m = tn[x] >> 1, tn[y] >> 1
-        keep = (ids[x] != ids[y]) & (tn[x] & 1 == tn[y] & 1) & (2 * np.minimum(n, m) >= np.maximum(n, m))
+    A shard beyond ``limit`` gives one row (-1, shard, members, 0) instead. A sixth column, where there is one, is the side of
+    a row in a tile of two sides, between which pairs are sought; -1 where both sides are one.
+    """
+
+    def out(ids, bits, tn, side, x, y) -> pa.RecordBatch:
+        n, m = tn[x] >> 2, tn[y] >> 2
+        keep = (ids[x] != ids[y]) & ((side[x] < 0) | (side[x] != side[y])) & (tn[x] & 1 == tn[y] & 1) & (2 * np.minimum(n, m) >= np.maximum(n, m))
         x, y = x[keep], y[keep]
         a, b = ids[x], ids[y]
         return pa.RecordBatch.from_arrays([pa.array(tn[x] & 1), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(hamming(bits[x], bits[y]))], names=["t", "a", "b", "d"])
 
-    def work(shard, ids, bits, tn):
+    def work(shard, ids, bits, tn, side):
         edge = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
         size = np.diff(np.append(edge, len(shard)))
         small = np.repeat(size, size) <= LEAF
         for off in range(1, min(LEAF, int(size.max(initial=1)))):
             a = np.flatnonzero((shard[:-off] == shard[off:]) & small[:-off])
-            a = a[hamming(bits[a], bits[a + off]) <= RADIUS]
+            a = a[hamming(bits[a], bits[a + off]) <= np.where(tn[a] & 2, RADIUS[1], RADIUS[0])]
             if len(a):
-                yield out(ids, bits, tn, a, a + off)
+                yield out(ids, bits, tn, side, a, a + off)
         for e, n in zip(edge[size > LEAF].tolist(), size[size > LEAF].tolist()):
+            if limit and n > limit:
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([shard[e]], pa.int64()), pa.array([n], pa.int64()), pa.array([0], pa.int16())], names=["t", "a", "b", "d"])
+                continue
             s = slice(e, e + n)
-            a, b = VantageTree(bits[s]).pairs(RADIUS)
-            yield out(ids, bits, tn, a + e, b + e)
+            a, b = VantageTree(bits[s]).pairs(RADIUS[(int(tn[e]) >> 1) & 1])
+            yield out(ids, bits, tn, side, a + e, b + e)
 
     held: list[tuple] = []
     for batch in batches:
         shard, ids, b0, b1, tn = (np.asarray(batch.column(k)) for k in range(5))
-        cols = [shard, ids, np.stack([b0, b1], axis=1).view(np.uint64), tn]
+        side = np.asarray(batch.column(5)) if batch.num_columns > 5 else np.full(len(ids), -1, dtype=np.int32)
+        cols = [shard, ids, np.stack([b0, b1], axis=1).view(np.uint64), tn, side]
         if held:
             cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
         cutoff = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0  # the last shard may go on in the next batch
@@ -283,9 +297,19 @@ def _shard_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidates(sigs: DataFrame) -> DataFrame:
     """(t, a, b): pairs of representatives within the radius that meet in several shards, or within a smaller one in few."""
     placed = sigs.select("t", "id", "n", "sig", "sig2").mapInArrow(_to_shards, "shard long, id long, bits0 long, bits1 long, tn int")
-    sharded = placed.repartition("shard").sortWithinPartitions("shard")
-    near = sharded.mapInArrow(_shard_pairs, "t int, a long, b long, d short").groupBy("t", "a", "b").agg(F.count(F.lit(1)).alias("k"), F.min("d").alias("d"))
-    return near.where(F.col("d") <= F.when(F.col("k") == 1, ALONE).when(F.col("k") == 2, TWICE).otherwise(RADIUS)).select("t", "a", "b")
+
+    def chosen(rows: DataFrame, limit: int | None) -> DataFrame:
+        by_shard = rows.repartition("shard").sortWithinPartitions("shard")
+        near = by_shard.mapInArrow(lambda it: _shard_pairs(it, limit), "t int, a long, b long, d short").groupBy("t", "a", "b").agg(F.count(F.lit(1)).alias("k"), F.min("d").alias("d"))
+        return cut(near.where(F.col("d") <= F.when(F.col("k") == 1, ALONE).when(F.col("k") == 2, TWICE).otherwise(RADIUS[0])).select("t", "a", "b"))
+
+    pairs = chosen(placed, SHARD_LIMIT)
+    large = pairs.where("t = -1").select(F.col("a").alias("shard"), F.ceil(F.col("b") * 2 / SHARD_LIMIT).cast("int").alias("p"))
+    if large.isEmpty():
+        return pairs
+    tiled = placed.join(large, "shard").withColumn("i", F.pmod(F.xxhash64("id"), F.col("p")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
+    tiles = tiled.select(F.xxhash64("shard", F.least("i", "j"), F.greatest("i", "j")).alias("shard"), "id", "bits0", "bits1", "tn", F.when(F.col("i") == F.col("j"), -1).otherwise(F.col("i")).alias("side"))
+    return pairs.where("t >= 0").unionByName(chosen(tiles, None)).distinct()
 
 
 def _bloom(ids: DataFrame) -> np.ndarray:
@@ -359,7 +383,7 @@ def versions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     sigs = cut(signatures(rows, common_runs(rows)))
     reps = sigs.groupBy("t", "copy").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sig2").alias("sig2"))
     members = cut(sigs.select("t", "id", "copy").join(reps.select("t", "copy", "rep"), ["t", "copy"]).select("t", "id", "rep").distinct())
-    found = cut(candidates(reps.select("t", F.col("rep").alias("id"), "n", "sig", "sig2")))
+    found = candidates(reps.select("t", F.col("rep").alias("id"), "n", "sig", "sig2"))
     return members, cut(exact_pairs(rows, found))
 
 
