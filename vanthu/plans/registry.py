@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vanthu.plans import general, searching
+from vanthu.plans import general, pipeline, searching
 
-MODULES = [searching, general]
+MODULES = [searching, pipeline, general]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
