@@ -34,4 +34,5 @@ def number_key(value: str | None) -> str | None:
 @F.pandas_udf(T.StringType())
 def number_key_udf(values: pd.Series) -> pd.Series:
     """``number_key`` over Arrow batches; each distinct spelling of a batch is folded once."""
-    return values.map({v: number_key(v) for v in values.dropna().unique()})
+    keys = {v: number_key(v) for v in values.dropna().unique()}
+    return pd.Series([None if v is None or v != v else keys[v] for v in values], dtype=object)
