@@ -1,6 +1,6 @@
 """Problem 6: near-duplicate records with small edits.
 
-Method: records get Hamming fingerprints (128 bits of min-hash slots over runs of three words), and vantage-point
+Method: records get Hamming fingerprints (one bit of each of 96 min-hash slots over runs of three words), and vantage-point
 trees answer range queries on them, pruning branches by the triangle inequality; the pairs they return are checked exactly.
 A single tree over all records would prune nothing: unrelated records lie at nearly the same distance from every vantage
 point. The records are therefore partitioned into overlapping shards first (each record is in one shard for each band of
@@ -31,8 +31,8 @@ SLOTS = 96
 #: (bands, slots in a band) without the common runs, and with them
 BANDS = ((48, 3), (24, 4))
 COMMON = 0.1
-RADIUS = (54, 44)  # of 128 bits, without the common runs and with them: a pair at one half differs in 32 bits on average, unrelated ones in 64, with deviations of 5 to 6
-ALONE, TWICE = 38, 46  # the radius for pairs that meet in one or two shards only
+RADIUS = (41, 33)  # of 96 bits, without the common runs and with them: a pair at one half differs in 24 bits on average, unrelated ones in 48, with deviations of 4 to 5
+ALONE, TWICE = 28, 35  # the radius for pairs that meet in one or two shards only
 #: Records are placed without the common runs if at least the first share of their runs is left, and with them if less than the second is.
 RARE_FROM, WHOLE_BELOW = 0.3, 0.8
 LEAF = 32
@@ -174,7 +174,10 @@ def signatures(rows: DataFrame, common: np.ndarray) -> DataFrame:
 
 
 def _to_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shard, id, bits0, bits1, tn): every record in one shard for each band; tn is four times the number of runs, plus two where common runs count, plus t."""
+    """(shard, id, bits, tail): every record in one shard for each band.
+
+    tail holds, from the lowest bit, 32 more bits of the fingerprint, t, whether common runs count, and the number of runs.
+    """
     for batch in batches:
         t = np.asarray(batch.column(0), dtype=np.uint64)
         i = np.asarray(batch.column(1), dtype=np.int64)
@@ -186,7 +189,9 @@ def _to_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(at):
                 continue
             sig = np.frombuffer(b"".join(batch.column(kind).take(pa.array(at)).to_pylist()), dtype=np.uint16).reshape(len(at), SLOTS)
-            bits = np.packbits(np.concatenate([sig & 1, (sig[:, :32] >> 1) & 1], axis=1).astype(np.uint8), axis=1).view(np.int64)
+            bits = np.packbits((sig & 1).astype(np.uint8), axis=1)
+            b0, b1 = np.ascontiguousarray(bits[:, :8]).view(np.int64).ravel(), np.ascontiguousarray(bits[:, 8:]).view(np.uint32).ravel().astype(np.int64)
+            tail = (np.minimum(4 * n[at].astype(np.int64) + 2 * whole + t[at].astype(np.int64), (1 << 31) - 1) << 32) | b1
             for lo in range(0, len(at), 2000):
                 s = slice(lo, lo + 2000)
                 packed = np.zeros((len(sig[s]), bands), dtype=np.uint64)
@@ -194,8 +199,8 @@ def _to_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     packed = (packed << np.uint64(16)) | sig[s][:, layout[:, c]]
                 keys = _mix(_mix(packed) + (np.arange(bands, dtype=np.uint64) + np.uint64(1)) * _M1 + t[at[s], None] * _M2 + np.uint64(kind) * _M3)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel().view(np.int64)), *(pa.array(np.repeat(v, bands)) for v in (i[at[s]], bits[s, 0], bits[s, 1], 4 * n[at[s]] + 2 * whole + t[at[s]].astype(np.int32)))],
-                    names=["shard", "id", "bits0", "bits1", "tn"],
+                    [pa.array(keys.ravel().view(np.int64)), *(pa.array(np.repeat(v, bands)) for v in (i[at[s]], b0[s], tail[s]))],
+                    names=["shard", "id", "bits", "tail"],
                 )
 
 
@@ -251,7 +256,7 @@ class VantageTree:
 def _shard_pairs(batches: Iterator[pa.RecordBatch], limit: int | None = SHARD_LIMIT) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of rows sorted by shard: (t, a, b, d). Small shards are compared together.
 
-    A shard beyond ``limit`` gives one row (-1, shard, members, 0) instead. A sixth column, where there is one, is the side of
+    A shard beyond ``limit`` gives one row (-1, shard, members, 0) instead. A fifth column, where there is one, is the side of
     a row in a tile of two sides, between which pairs are sought; -1 where both sides are one.
     """
 
@@ -281,9 +286,9 @@ def _shard_pairs(batches: Iterator[pa.RecordBatch], limit: int | None = SHARD_LI
 
     held: list[tuple] = []
     for batch in batches:
-        shard, ids, b0, b1, tn = (np.asarray(batch.column(k)) for k in range(5))
-        side = np.asarray(batch.column(5)) if batch.num_columns > 5 else np.full(len(ids), -1, dtype=np.int32)
-        cols = [shard, ids, np.stack([b0, b1], axis=1).view(np.uint64), tn, side]
+        shard, ids, bits, tail = (np.asarray(batch.column(k)) for k in range(4))
+        side = np.asarray(batch.column(4)) if batch.num_columns > 4 else np.full(len(ids), -1, dtype=np.int32)
+        cols = [shard, ids, np.stack([bits, tail & 0xFFFFFFFF], axis=1).view(np.uint64), (tail >> 32).astype(np.int32), side]
         if held:
             cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
         cutoff = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0  # the last shard may go on in the next batch
@@ -296,7 +301,7 @@ def _shard_pairs(batches: Iterator[pa.RecordBatch], limit: int | None = SHARD_LI
 
 def candidates(sigs: DataFrame) -> DataFrame:
     """(t, a, b): pairs of representatives within the radius that meet in several shards, or within a smaller one in few."""
-    placed = sigs.select("t", "id", "n", "sig", "sig2").mapInArrow(_to_shards, "shard long, id long, bits0 long, bits1 long, tn int")
+    placed = sigs.select("t", "id", "n", "sig", "sig2").mapInArrow(_to_shards, "shard long, id long, bits long, tail long")
 
     def chosen(rows: DataFrame, limit: int | None) -> DataFrame:
         by_shard = rows.repartition("shard").sortWithinPartitions("shard")
@@ -308,7 +313,7 @@ def candidates(sigs: DataFrame) -> DataFrame:
     if large.isEmpty():
         return pairs
     tiled = placed.join(large, "shard").withColumn("i", F.pmod(F.xxhash64("id"), F.col("p")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
-    tiles = tiled.select(F.xxhash64("shard", F.least("i", "j"), F.greatest("i", "j")).alias("shard"), "id", "bits0", "bits1", "tn", F.when(F.col("i") == F.col("j"), -1).otherwise(F.col("i")).alias("side"))
+    tiles = tiled.select(F.xxhash64("shard", F.least("i", "j"), F.greatest("i", "j")).alias("shard"), "id", "bits", "tail", F.when(F.col("i") == F.col("j"), -1).otherwise(F.col("i")).alias("side"))
     return pairs.where("t >= 0").unionByName(chosen(tiles, None)).distinct()
 
 
