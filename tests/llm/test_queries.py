@@ -1,0 +1,14 @@
+import pytest
+
+from oracle import same
+from vanthu.llm.queries import ORACLE_SQL, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_same_as_sql(spark, small, name):
+    same(spark, small, QUERIES[name], ORACLE_SQL[name])
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
+def test_runs(spark, small, name):
+    assert QUERIES[name](spark, small).count() >= 0
