@@ -13,5 +13,5 @@ def test_same_as_sql(spark, small, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, small, name):
-    assert QUERIES[name](spark, small).columns
-    QUERIES[name](spark, small).count()
+    df = QUERIES[name](spark, small)
+    assert df.columns and df.count() >= 0
