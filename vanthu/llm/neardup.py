@@ -37,7 +37,8 @@ ALONE, TWICE = 28, 35  # the radius for pairs that meet in one or two shards onl
 RARE_FROM, WHOLE_BELOW = 0.3, 0.8
 LEAF = 32
 SHARD_LIMIT = 8192  # members of one shard compared in one task; the pairs of a larger shard are spread over tiles of half that size
-BLOOM_BITS = 1 << 22
+BLOOM_BITS = 1 << 24
+TASK_BYTES, ROW_BYTES = 128 << 20, 48  # rows of a shard task in memory
 _rng = np.random.default_rng(20240607)
 _MULTIPLIERS = (_rng.integers(1, 1 << 32, SLOTS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _LAYOUT = [np.concatenate([_rng.permutation(SLOTS).reshape(-1, r) for _ in range(-(-b * r // SLOTS))])[:b] for b, r in BANDS]
@@ -303,8 +304,12 @@ def candidates(sigs: DataFrame) -> DataFrame:
     """(t, a, b): pairs of representatives within the radius that meet in several shards, or within a smaller one in few."""
     placed = sigs.select("t", "id", "n", "sig", "sig2").mapInArrow(_to_shards, "shard long, id long, bits long, tail long")
 
+    # few large tasks: the rows of one record that go to the same task lie together and are packed well in the shuffle
+    size = sigs.count() * sum(b for b, _ in BANDS) * ROW_BYTES
+    tasks = max(2 * sigs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+
     def chosen(rows: DataFrame, limit: int | None) -> DataFrame:
-        by_shard = rows.repartition("shard").sortWithinPartitions("shard")
+        by_shard = rows.repartition(tasks, "shard").sortWithinPartitions("shard")
         near = by_shard.mapInArrow(lambda it: _shard_pairs(it, limit), "t int, a long, b long, d short").groupBy("t", "a", "b").agg(F.count(F.lit(1)).alias("k"), F.min("d").alias("d"))
         return cut(near.where(F.col("d") <= F.when(F.col("k") == 1, ALONE).when(F.col("k") == 2, TWICE).otherwise(RADIUS[0])).select("t", "a", "b"))
 
@@ -318,12 +323,11 @@ def candidates(sigs: DataFrame) -> DataFrame:
 
 
 def _bloom(ids: DataFrame) -> np.ndarray:
-    """A fixed-size bit table of the hashes in ``ids`` (h): half a megabyte at any scale."""
-    words = ids.select((F.col("h") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(h % 64 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).collect()
-    table = np.zeros(BLOOM_BITS // 64, dtype=np.uint64)
-    for r in words:
-        table[r["w"]] = np.uint64(r["bits"] & 0xFFFFFFFFFFFFFFFF)
-    return table
+    """A fixed-size bit table of the hashes in ``ids`` (h): two megabytes at any scale."""
+    words = ids.select((F.col("h") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(h % 64 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(BLOOM_BITS // 64, dtype=np.int64)
+    table[words["w"].to_numpy()] = words["bits"].to_numpy()
+    return table.view(np.uint64)
 
 
 def _hash(t, i):
