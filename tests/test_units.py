@@ -40,7 +40,7 @@ def test_chunking(spark):
     got = [tuple(r) for r in ingest.parse_and_chunk(df, "id", "t").where("id = 1").orderBy("index").select("text", "dieu", "khoan").collect()]
     # an article's own number begins a clause, and pieces of under ten characters are dropped
     assert got == [("mở đầu dài dòng", None, None), ("1. A theo luật", 1, 1), ("1. khoản thứ nhất", 2, 1), ("2. khoản thứ hai", 2, 2)]
-    assert [r.token_count for r in ingest.parse_and_chunk(df, "id", "t").where("id = 2").orderBy("index").collect()] == [500, 500, 200]
+    assert [r.token_count for r in ingest.parse_and_chunk(df, "id", "t").where("id = 2").orderBy("index").collect()] == [1200]  # windows serve only texts without a piece
     assert ingest.parse_and_chunk(df, "id", "t").where("id in (3, 4)").count() == 0
 
 
