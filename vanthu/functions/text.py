@@ -59,7 +59,7 @@ def folded(c: Column) -> Column:
     """Index form: lower case, single marks stripped, separators made one space, a space at both ends."""
     low = F.translate(F.lower(F.coalesce(c, F.lit(""))), FOLD_FROM, FOLD_TO)
     low = F.regexp_replace(low, "[̀-̱]", "")
-    return F.concat(F.lit(" "), F.regexp_replace(low, r"[^\p{L}\p{N}\p{Co}]+", " "), F.lit(" "))
+    return F.regexp_replace(F.concat(F.lit(" "), low, F.lit(" ")), r"[^\p{L}\p{N}\p{Co}]+", " ")
 
 
 def fold_py(s: str) -> str:
@@ -70,7 +70,7 @@ def fold_py(s: str) -> str:
 
 def tokens_in(norm: Column) -> Column:
     """The number of tokens of an index form."""
-    return F.size(F.filter(F.split(norm, " "), lambda w: w != ""))
+    return F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit(""))) - 1
 
 
 def occurrences(norm: Column, phrase: str) -> Column:
