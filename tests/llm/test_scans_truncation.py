@@ -52,3 +52,10 @@ def test_truncated(spark):
 def test_trie():
     t = truncation.Trie({"quản": 1, "quản lý": 1, "quả": 1})
     assert sorted(t.extensions("qu")) == ["quả", "quản", "quản lý"] and t.extensions("x") == []
+
+
+def test_several_forms_are_chosen_by_their_neighbours(spark):
+    clean = "Điều 1. Lưu trữ\n1. " + "giao dịch điện tử có hiệu lực. " * 3 + "quân địch tấn công trước."
+    docs = spark.createDataFrame([(100 + i, clean) for i in range(60)] + [(0, "1. quân d'ich tấn công trước."), (1, "1. giao d'ich điện tử"), (2, "1. lưu d1ch\ntấn công trước.")], "doc_id long, content_markdown string")
+    got = {r.id: r.text for r in scans.paragraphs(docs, spark.createDataFrame([], "id long, text string")).collect() if r.id < 100}
+    assert got == {0: "1. quân địch tấn công trước.", 1: "1. giao dịch điện tử", 2: "1. lưu địch tấn công trước."}

@@ -3,7 +3,8 @@
 Method: words are grouped by a skeleton in which the glyphs that scanners confuse, and the accents they lose, are one. A word
 whose rate in records without signs of scanning is far below its rate in the others is suspect, and a misreading if its
 skeleton, or the word without added signs or gaps, is that of a form well known in clean records; among several forms the
-one supported by the word before or after it is taken. Lines with digits and capitalised words masked give shapes; shapes
+one that stands most often next to the same word before and after it in clean records is taken. Only the word pairs that some
+misreading asks for are counted, and both sides are joined, so no count is left out and none is broadcast. Lines with digits and capitalised words masked give shapes; shapes
 that stand right after a word divided at a line end, or at a page mark inside a sentence, are running headers. Lines then
 flow into paragraphs, decided by a SQL window over consecutive lines.
 
@@ -17,13 +18,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from vanthu.llm.lookalike import Rewriter, corpus_mapping
+from vanthu.llm.neardup import BLOOM_BITS, _bloom
 from vanthu.runtime import cut
 
 #: A word is well known from this share of the words of clean records, and three occurrences: at most 10^6 words.
@@ -276,8 +280,11 @@ def joined(lines: list[tuple[str, str]]) -> list[str]:
     return out
 
 
-def repair_words(lines: list[str], lexicon: Lexicon) -> list[str]:
-    """Misread words replaced by the well-known form that their context supports, gaps closed."""
+def repair_words(lines: list[str], lexicon: Lexicon, several: list[tuple[int, int, list[tuple[str, str]]]] | None = None) -> list[str]:
+    """Misread words replaced by the most frequent well-known form, gaps closed.
+
+    ``several`` gets (line, position among its tokens, [(form, token with it)]) of the words that have other forms as well.
+    """
     out = []
     for line in lines:
         tokens = line.split()
@@ -295,9 +302,11 @@ def repair_words(lines: list[str], lexicon: Lexicon) -> list[str]:
                 if forms:
                     core = _EDGE.sub("", t)
                     at = t.find(core)
-                    form = forms[0]
-                    form = form.upper() if core.isupper() and len(core) > 1 else form.capitalize() if core[:1].isupper() else form
-                    t = t[:at] + form + "".join(c for c in t[at + len(core) :] if c not in "|^~*•¢")
+                    tail = "".join(c for c in t[at + len(core) :] if c not in "|^~*•¢")
+                    read = [(f, t[:at] + (f.upper() if core.isupper() and len(core) > 1 else f.capitalize() if core[:1].isupper() else f) + tail) for f in forms]
+                    t = read[0][1]
+                    if several is not None and len(read) > 1:
+                        several.append((len(out), len(fixed), read))
                 else:
                     t = "".join(c for c in t if c not in "|^~*•¢`")
             fixed.append(t)
@@ -306,6 +315,96 @@ def repair_words(lines: list[str], lexicon: Lexicon) -> list[str]:
     return out
 
 
+def neighbours(lines: list[str]) -> list[list[tuple[str | None, str, str | None]]]:
+    """For every line the (word before, word, word after) of its tokens; a blank line has no words and parts those around it."""
+    words = [[word_of(t) for t in s.split(" ")] if s else [] for s in lines]
+    flat: list[str | None] = [None]
+    for ws in words:
+        flat += ws or [None]
+    flat.append(None)
+    out, at = [], 1
+    for ws in words:
+        out.append([(flat[at + k - 1], w, flat[at + k + 1]) for k, w in enumerate(ws)])
+        at += len(ws) or 1
+    return out
+
+
+def _asks(mapping: dict[str, str], shared):
+    """(table_name, id, line, pos, rank, form, token, before, after): every form of every misread word that has several; before and after are word pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rewrite, lex = Rewriter(mapping), Lexicon(*shared.value)
+        for batch in batches:
+            out = []
+            for t, i, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if not text:
+                    continue
+                several: list = []
+                fixed = repair_words(_kept(rewrite(text), lex), lex, several)
+                if several:
+                    near = neighbours(fixed)
+                    for line, pos, read in several:
+                        left, _, right = near[line][pos]
+                        out += [(t, i, line, pos, k, form, token, f"{left} {form}" if left else None, f"{form} {right}" if right else None) for k, (form, token) in enumerate(read)]
+            cols = list(zip(*out)) if out else [[]] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.string()] * 4))], names=["table_name", "id", "line", "pos", "rank", "form", "token", "before", "after"])
+
+    return run
+
+
+def _pairs(mapping: dict[str, str], shared, table):
+    """(pair, m): counts of the adjacent words of clean records, of all pairs in a bit table and few others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rewrite, bits, held = Rewriter(mapping), table.value, Counter()
+        known = Lexicon(*shared.value)
+        forms = {w for ws in known.by_skeleton.values() if len(ws) > 1 for w in ws}
+
+        def out() -> pa.RecordBatch:
+            rows = []
+            for (a, b), n in held.items():
+                h = zlib.crc32((pair := f"{a} {b}").encode()) % BLOOM_BITS
+                if int(bits[h >> 6]) >> (h & 63) & 1:
+                    rows.append((pair, n))
+            held.clear()
+            cols = list(zip(*rows)) if rows else [[], []]
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64())], names=["pair", "m"])
+
+        for batch in batches:
+            for text in batch.column(2).to_pylist():
+                if not text:
+                    continue
+                text = rewrite(text)
+                lines = page_lines(text)
+                if scanned(text, lines):
+                    continue
+                flat: list[str | None] = []
+                for s in joined(lines):
+                    flat += map(word_of, s.split()) if s else [None]
+                held.update((a, b) for a, b in zip(flat, flat[1:]) if a and b and (a in forms or b in forms))
+                if len(held) > 200_000:
+                    yield out()
+        yield out()
+
+    return run
+
+
+def choices(rows: DataFrame, mapping: dict[str, str], shared) -> DataFrame:
+    """(table_name, id, line, pos, token): of the misread words with several forms, the one its neighbours support.
+
+    The support of a form is the product of its pair counts with the word before and the word after, each plus one; ties go to
+    the more frequent, then the lower form. A bit table of fixed size keeps the pairs that no word asks for out of the shuffle.
+    """
+    asks = cut(rows.mapInArrow(_asks(mapping, shared), "table_name string, id long, line int, pos int, rank int, form string, token string, before string, after string"))
+    asked = asks.select(F.explode(F.array("before", "after")).alias("pair")).where("pair is not null")
+    table = rows.sparkSession.sparkContext.broadcast(_bloom(asked.select(F.pmod(F.crc32(F.encode("pair", "UTF-8")), F.lit(BLOOM_BITS)).alias("h"))))
+    counts = cut(rows.mapInArrow(_pairs(mapping, shared, table), "pair string, m long").groupBy("pair").agg(F.sum("m").alias("m")))
+    side = lambda name: counts.select(F.col("pair").alias(name), F.col("m").alias(f"n_{name}"))
+    scored = asks.join(side("before"), "before", "left").join(side("after"), "after", "left")
+    support = (F.coalesce("n_before", F.lit(0)) + 1).cast("double") * (F.coalesce("n_after", F.lit(0)) + 1)
+    return scored.groupBy("table_name", "id", "line", "pos").agg(F.min_by("token", F.struct(-support, "rank")).alias("token"))
+
+
 def texts_of(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """(table_name, id, text) of documents.content_markdown and chunks.text."""
     return documents.select(F.lit("documents").alias("table_name"), F.col("doc_id").alias("id"), F.col("content_markdown").alias("text")).unionByName(
@@ -334,10 +433,17 @@ def found(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "table_name string, id long, noise string").distinct()
 
 
+def _kept(text: str, lexicon: Lexicon) -> list[str]:
+    """The lines of a text in consistent characters that are no page lines, divided words joined."""
+    lines = page_lines(text)
+    heads = lexicon.header_lines(lines)
+    return joined([(s, "running_header" if k in heads else kind) for k, (s, kind) in enumerate(lines)])
+
+
 def paragraphs(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """(table_name, id, paragraph, text): continuous paragraphs of every text, in order.
 
-    Lines are repaired where they are; a window over the lines of a text then starts a new paragraph where a line begins an
+    Lines are repaired where they are, words with several forms by ``choices``; a window over the lines of a text then starts a new paragraph where a line begins an
     item, follows a blank line, or follows a finished line and begins with a capital.
     """
     rows, mapping, lexicon = _prepared(documents, chunks)
@@ -350,14 +456,16 @@ def paragraphs(documents: DataFrame, chunks: DataFrame) -> DataFrame:
             for t, i, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if not text:
                     continue
-                lines = page_lines(rewrite(text))
-                heads = lex.header_lines(lines)
-                kept = joined([(s, "running_header" if k in heads else kind) for k, (s, kind) in enumerate(lines)])
-                out += [(t, i, k, s) for k, s in enumerate(repair_words(kept, lex))]
+                out += [(t, i, k, s) for k, s in enumerate(repair_words(_kept(rewrite(text), lex), lex))]
             cols = list(zip(*out)) if out else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string())], names=["table_name", "id", "line", "s"])
 
-    lines = rows.dropDuplicates(["table_name", "id"]).mapInArrow(run, "table_name string, id long, line int, s string")
+    rows = rows.dropDuplicates(["table_name", "id"])
+    lines = rows.mapInArrow(run, "table_name string, id long, line int, s string")
+    at = lambda line, pos: F.shiftleft(line.cast("long"), 32) + pos
+    fixes = choices(rows, mapping, shared).groupBy("table_name", "id").agg(F.map_from_entries(F.collect_list(F.struct(at(F.col("line"), F.col("pos")).alias("k"), F.col("token").alias("v")))).alias("fixes"))
+    chosen = F.array_join(F.transform(F.split("s", " "), lambda x, k: F.coalesce(F.try_element_at("fixes", at(F.col("line"), k)), x)), " ")
+    lines = lines.join(fixes, ["table_name", "id"], "left").select("table_name", "id", "line", F.when(F.col("fixes").isNull(), F.col("s")).otherwise(chosen).alias("s"))
     by = W.partitionBy("table_name", "id").orderBy("line")
     before = F.lag("s").over(by)
     item = F.col("s").rlike(r"^(#|\||(Điều|Dieu|Article)\s+\d|\d{1,3}\.\s|[a-zđ]\)\s|- |Căn cứ|Theo đề nghị)")
