@@ -81,7 +81,7 @@ class Engine:
         return ingest.documents_of(chunks), ingest.sections_of(chunks), chunks
 
     def compile_wiki(self) -> DataFrame:
-        return wiki.compile_pages(self._t("documents"), self._t("chunks"))
+        return wiki.compile_wiki(self._t("documents"), self._t("chunks"))
 
     def lint_wiki(self) -> DataFrame:
         return wiki.lint(self.compile_wiki(), self._t("documents"))

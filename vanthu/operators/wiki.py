@@ -35,11 +35,19 @@ def summary(issuer: Column, number: Column, date: Column, content: Column) -> Co
 
 
 def compile_pages(docs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(slug, title, document_id, doc_number, summary, key_points, authorities, markdown), one page for each document."""
+    """(slug, title, document_id, doc_number, summary, key_points, authorities, markdown), one page for each document.
+
+    A document without content has that of its chunks, one after the other.
+    """
     s = lambda c: F.coalesce(F.col(c), F.lit(""))
-    base = docs.where("content_markdown is not null").join(key_points(chunks), docs["doc_id"] == F.col("document_id"), "left")
+    bare = docs.where("coalesce(content_markdown, '') = ''").select(F.col("doc_id").alias("document_id")).distinct()
+    parts = chunks.select("id", "document_id", "chunk_index", "text").join(bare, "document_id", "left_semi").dropDuplicates(["id"]).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "id", "text"))).alias("cs"))
+    joined = parts.select(F.col("document_id").alias("doc_id"), F.array_join(F.transform("cs", lambda c: c["text"]), "\n").alias("joined"))
+    docs = docs.join(joined, "doc_id", "left").withColumn("content_markdown", F.coalesce(F.nullif("content_markdown", F.lit("")), "joined", F.lit("")))
+    base = docs.join(key_points(chunks), docs["doc_id"] == F.col("document_id"), "left")
+    slug = T.slugify(F.concat(s("doc_number"), F.lit("-"), s("doc_type")))
     page = base.select(
-        T.slugify(F.concat(s("doc_number"), F.lit("-"), s("doc_type"))).alias("slug"), s("title").alias("title"), docs["doc_id"].alias("document_id"), s("doc_number").alias("doc_number"), s("doc_type").alias("doc_type"),
+        F.when(slug == "", F.concat(F.lit("doc-"), docs["doc_id"].cast("string"))).otherwise(slug).alias("slug"), s("title").alias("title"), docs["doc_id"].alias("document_id"), s("doc_number").alias("doc_number"), s("doc_type").alias("doc_type"),
         s("issuing_date").alias("issuing_date"), s("issuing_authority").alias("issuing_authority"), s("effectiveness_status").alias("effectiveness_status"),
         F.coalesce(F.nullif(F.col("effective_date"), F.lit("")), s("issuing_date")).alias("effective_date"),
         summary(F.col("issuing_authority"), F.col("doc_number"), F.col("issuing_date"), F.col("content_markdown")).alias("summary"),
@@ -61,11 +69,20 @@ def markdown() -> Column:
 
 def upsert(pages: DataFrame, compiled: DataFrame) -> DataFrame:
     """``pages`` with ``compiled`` merged by slug: document, review flag and creation time of an existing page stay. Among compiled pages of one slug the last document wins."""
-    last = compiled.groupBy("slug").agg(F.max_by(F.struct("title", "document_id", "summary", "markdown", "created_at"), "document_id").alias("n"))
-    old = pages.select("slug", *[F.col(x).alias(f"old_{x}") for x in ("title", "document_id", "summary", "markdown", "reviewed", "created_at")])
+    columns = [c for c in compiled.columns if c not in ("slug", "reviewed")]
+    last = compiled.groupBy("slug").agg(F.max_by(F.struct(*columns), "document_id").alias("n"))
+    old = pages.select("slug", *[F.col(x).alias(f"old_{x}") for x in (*columns, "reviewed")])
     both = old.join(last, "slug", "full_outer")
-    new = lambda x: F.coalesce(F.col(f"n.{x}"), F.col(f"old_{x}")).alias(x)
-    return both.select("slug", new("title"), F.coalesce("old_document_id", "n.document_id").alias("document_id"), new("summary"), new("markdown"), F.coalesce("old_reviewed", F.lit(False)).alias("reviewed"), F.coalesce("old_created_at", "n.created_at").alias("created_at"))
+    of = lambda x: (F.coalesce(f"old_{x}", f"n.{x}") if x in ("document_id", "created_at") else F.coalesce(f"n.{x}", f"old_{x}")).alias(x)
+    return both.select("slug", *map(of, columns), F.coalesce("old_reviewed", F.lit(False)).alias("reviewed"))
+
+
+def compile_wiki(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The pages of ``compile_pages`` with ``reviewed``, one for each slug: documents are compiled by id, the first makes the page and the last fills it."""
+    compiled = compile_pages(docs, chunks)
+    columns = [c for c in compiled.columns if c != "slug"]
+    first = compiled.groupBy("slug").agg(F.min_by(F.struct(*columns), "document_id").alias("f")).select("slug", "f.*", F.lit(False).alias("reviewed"))
+    return upsert(first, compiled)
 
 
 def broken_links(pages: DataFrame) -> DataFrame:

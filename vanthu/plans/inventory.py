@@ -284,7 +284,7 @@ def src_seed_if_empty(spark, d):
 def snk_wiki_md(spark, d):
     """Pages written as text and JSON and read again."""
     out = _scratch(spark, "vault")
-    files.write_pages(wiki.compile_pages(Q.docs(spark, d), table(spark, d, "chunks")).select("slug", "document_id", "markdown"), out)
+    files.write_pages(wiki.compile_wiki(Q.docs(spark, d), table(spark, d, "chunks")).select("slug", "document_id", "markdown"), out)
     return spark.read.schema("slug string, document_id long").json(f"{out}/json")
 
 

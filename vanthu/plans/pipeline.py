@@ -259,7 +259,7 @@ def q_suggested_questions(spark, _d):
 
 # ---- wiki
 def _pages(spark, d):
-    return wiki.compile_pages(docs(spark, d), table(spark, d, "chunks"))
+    return wiki.compile_wiki(docs(spark, d), table(spark, d, "chunks"))
 
 
 @query()
