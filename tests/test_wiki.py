@@ -21,3 +21,11 @@ def test_one_page_for_each_slug(spark):
     assert set(rows) == {"7-luat", "8-luat"}
     page = rows["7-luat"]
     assert (page.document_id, page.created_at, page.title, page.reviewed) == (1, "2026-01-01", "Tiêu đề 5", False) and "mới" in page.markdown
+
+
+def test_key_points_of_the_first_fifteen_at_any_index(spark):
+    text = lambda k: f"Nội dung số {k:03d} của khoản\n" + "x" * 30
+    rows = [(k, 1, 40 + k, 3, text(k)) for k in range(20)] + [(100 + k, 2, None if k == 0 else 7000 + k, 0 if 0 < k < 14 else 4, text(k)) for k in range(17)]
+    got = {r.document_id: r.key_points for r in wiki.key_points(spark.createDataFrame(rows, CHUNK)).collect()}
+    assert got[1] == [f"Điều 3: Nội dung số {k:03d} của khoản" for k in range(5)]
+    assert got[2] == [f"Điều 4: Nội dung số {k:03d} của khoản" for k in (0, 14)]

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from vanthu.functions import text as T
 
 
 def key_points(chunks: DataFrame) -> DataFrame:
-    """(document_id, key_points): of the first fifteen chunks, up to five first lines of articles."""
-    order = F.array_sort(F.collect_list(F.struct("chunk_index", "id", "dieu", "text")))
-    got = chunks.dropDuplicates(["id"]).where("document_id is not null and chunk_index < 40").groupBy("document_id").agg(F.slice(order, 1, 15).alias("cs"))
-    line = lambda c: F.trim(F.element_at(F.split(c["text"], "\n"), 1))
-    fit = F.filter("cs", lambda c: (F.coalesce(c["dieu"], F.lit(0)) != 0) & (F.length(c["text"]) > 30) & (F.length(line(c)) > 10) & ~line(c).startswith("Điều"))
-    return got.select("document_id", F.slice(F.transform(fit, lambda c: F.concat(F.lit("Điều "), c["dieu"].cast("string"), F.lit(": "), F.substring(line(c), 1, 120))), 1, 5).alias("key_points"))
+    """(document_id, key_points): of the first fifteen chunks by chunk_index (none first), up to five first lines of articles."""
+    line = F.trim(F.element_at(F.split("text", "\n"), 1))
+    fit = (F.coalesce("dieu", F.lit(0)) != 0) & (F.length("text") > 30) & (F.length(line) > 10) & ~line.startswith("Điều")
+    point = F.when(fit, F.concat(F.lit("Điều "), F.col("dieu").cast("string"), F.lit(": "), F.substring(line, 1, 120)))
+    rows = chunks.where("document_id is not null").select("id", "document_id", "chunk_index", point.alias("point")).dropDuplicates(["id"])
+    first = rows.withColumn("n", F.row_number().over(W.partitionBy("document_id").orderBy("chunk_index", "id"))).where("n <= 15")
+    points = F.array_sort(F.collect_list(F.when(F.col("point").isNotNull(), F.struct("n", "point"))))
+    return first.groupBy("document_id").agg(F.slice(F.transform(points, lambda x: x["point"]), 1, 5).alias("key_points"))
 
 
 def authorities(content: Column, issuer: Column) -> Column:
