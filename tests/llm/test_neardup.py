@@ -65,3 +65,22 @@ def test_vantage_tree_is_exact():
     want = {(i, j) for i in range(len(bits)) for j in range(i + 1, len(bits)) if N.hamming(bits[i], bits[j]) <= 6}
     got = [(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())]
     assert set(got) == want and len(got) == len(want)
+
+
+def test_limit_does_not_change_the_candidates(spark, monkeypatch):
+    """The radius follows from all meetings of a pair, in shards on either side of the limit."""
+    monkeypatch.setattr(N, "ALONE", -1)
+    monkeypatch.setattr(N, "TWICE", -1)
+    rng = random.Random(7)
+    base, rows = [rng.choice(VOCAB) for _ in range(150)], []
+    for i in range(70):
+        w = list(base)
+        for _ in range(rng.randint(0, 12)):
+            w[rng.randrange(len(w))] = rng.choice(VOCAB)
+        rows.append((1, i, " ".join(w)))
+    sigs = N.cut(N.signatures(spark.createDataFrame(rows, "t int, id long, text string"), np.zeros(0, np.uint64)))
+    got = []
+    for limit in (N.SHARD_LIMIT, 40):
+        monkeypatch.setattr(N, "SHARD_LIMIT", limit)
+        got.append({(r.a, r.b) for r in N.candidates(sigs.select("t", "id", "n", "sig", "sig2")).collect()})
+    assert got[0] == got[1] and got[0]

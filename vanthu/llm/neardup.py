@@ -66,8 +66,8 @@ def runs_of(codes: np.ndarray) -> np.ndarray:
     return _mix(_mix(codes[:-2] * _M1 + codes[1:-1]) * _M2 + codes[2:] * _M3)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], words_in_block: int = 400_000) -> Iterator[tuple[list, list[list[str]]]]:
-    """Rows of enough words, several at a time: ([(t, id)], [words])."""
+def _blocks(batches: Iterator[pa.RecordBatch], words_in_block: int = 400_000, codes: _Codes | None = None) -> Iterator[tuple[list, list]]:
+    """Rows of enough words, several at a time: ([(t, id)], [words]), or their codes, which take less memory than the words."""
     rows, words, held = [], [], 0
     for batch in batches:
         for t, i, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -77,7 +77,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], words_in_block: int = 400_000) ->
             if len(w) < MIN_WORDS:
                 continue
             rows.append((t, i))
-            words.append(w)
+            words.append(w if codes is None else np.fromiter(map(codes.__getitem__, w), dtype=np.uint64, count=len(w)))
             held += len(w)
             if held >= words_in_block:
                 yield rows, words
@@ -86,12 +86,12 @@ def _blocks(batches: Iterator[pa.RecordBatch], words_in_block: int = 400_000) ->
         yield rows, words
 
 
-def _flat(words: list[list[str]], codes: _Codes) -> tuple[np.ndarray, np.ndarray]:
+def _flat(words: list, codes: _Codes) -> tuple[np.ndarray, np.ndarray]:
     """(keys of the runs of all rows one after the other, where each row's runs begin)."""
     if len(codes) > 400_000:
         codes.clear()
     sizes = np.array([len(w) for w in words])
-    flat = np.fromiter((c for w in words for c in map(codes.__getitem__, w)), dtype=np.uint64, count=int(sizes.sum()))
+    flat = np.concatenate(words) if isinstance(words[0], np.ndarray) else np.fromiter((c for w in words for c in map(codes.__getitem__, w)), dtype=np.uint64, count=int(sizes.sum()))
     ends = np.cumsum(sizes)
     keep = np.ones(len(flat) - 2, dtype=bool)
     for back in (2, 1):  # runs that would reach into the next row
@@ -108,7 +108,7 @@ def common_runs(rows: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, n, sums = _Codes(), 0, {}
-        for ids, words in _blocks(batches, 2_000_000):
+        for ids, words in _blocks(batches, 2_000_000, codes):
             flat, _ = _flat(words, codes)
             keys, counts = np.unique(flat, return_counts=True)
             big = counts >= max(2, COMMON / 4 * len(ids))
@@ -308,18 +308,20 @@ def candidates(sigs: DataFrame) -> DataFrame:
     size = sigs.count() * sum(b for b, _ in BANDS) * ROW_BYTES
     tasks = max(2 * sigs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
 
-    def chosen(rows: DataFrame, limit: int | None) -> DataFrame:
+    def met(rows: DataFrame, limit: int | None) -> DataFrame:
+        """(t, a, b, k, d): how often a pair meets and its distance; a shard beyond ``limit`` as (-1, shard, members, 1, 0)."""
         by_shard = rows.repartition(tasks, "shard").sortWithinPartitions("shard")
-        near = by_shard.mapInArrow(lambda it: _shard_pairs(it, limit), "t int, a long, b long, d short").groupBy("t", "a", "b").agg(F.count(F.lit(1)).alias("k"), F.min("d").alias("d"))
-        return cut(near.where(F.col("d") <= F.when(F.col("k") == 1, ALONE).when(F.col("k") == 2, TWICE).otherwise(RADIUS[0])).select("t", "a", "b"))
-
-    pairs = chosen(placed, SHARD_LIMIT)
-    large = pairs.where("t = -1").select(F.col("a").alias("shard"), F.ceil(F.col("b") * 2 / SHARD_LIMIT).cast("int").alias("p"))
-    if large.isEmpty():
-        return pairs
-    tiled = placed.join(large, "shard").withColumn("i", F.pmod(F.xxhash64("id"), F.col("p")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
-    tiles = tiled.select(F.xxhash64("shard", F.least("i", "j"), F.greatest("i", "j")).alias("shard"), "id", "bits", "tail", F.when(F.col("i") == F.col("j"), -1).otherwise(F.col("i")).alias("side"))
-    return pairs.where("t >= 0").unionByName(chosen(tiles, None)).distinct()
+        near = by_shard.mapInArrow(lambda it: _shard_pairs(it, limit), "t int, a long, b long, d short")
+        return cut(near.groupBy("t", "a", "b").agg(F.count(F.lit(1)).alias("k"), F.min("d").alias("d")))
+
+    near = met(placed, SHARD_LIMIT)
+    large = near.where("t = -1").select(F.col("a").alias("shard"), F.ceil(F.col("b") * 2 / SHARD_LIMIT).cast("int").alias("p"))
+    if not large.isEmpty():
+        tiled = placed.join(large, "shard").withColumn("i", F.pmod(F.xxhash64("id"), F.col("p")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
+        tiles = tiled.select(F.xxhash64("shard", F.least("i", "j"), F.greatest("i", "j")).alias("shard"), "id", "bits", "tail", F.when(F.col("i") == F.col("j"), -1).otherwise(F.col("i")).alias("side"))
+        # a pair meets in shards of both kinds: the radius depends on all of them
+        near = near.where("t >= 0").unionByName(met(tiles, None)).groupBy("t", "a", "b").agg(F.sum("k").alias("k"), F.min("d").alias("d"))
+    return cut(near.where(F.col("d") <= F.when(F.col("k") == 1, ALONE).when(F.col("k") == 2, TWICE).otherwise(RADIUS[0])).select("t", "a", "b"))
 
 
 def _bloom(ids: DataFrame) -> np.ndarray:
