@@ -84,3 +84,11 @@ def test_limit_does_not_change_the_candidates(spark, monkeypatch):
         monkeypatch.setattr(N, "SHARD_LIMIT", limit)
         got.append({(r.a, r.b) for r in N.candidates(sigs.select("t", "id", "n", "sig", "sig2")).collect()})
     assert got[0] == got[1] and got[0]
+
+
+def test_repeated_passages_count_once(spark):
+    w = [RNG.choice(VOCAB) for _ in range(100)]
+    texts = {1: " ".join(w), 2: " ".join(w * 3)}
+    docs = spark.createDataFrame([], "doc_id long, content_markdown string")
+    got = {(r.id_a, r.id_b) for r in N.pairs(docs, spark.createDataFrame([*texts.items()], "id long, text string")).collect()}
+    assert got == brute(texts) == {(1, 2)}

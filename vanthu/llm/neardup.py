@@ -140,7 +140,7 @@ def _fold(x: np.ndarray) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, common: np.ndarray) -> DataFrame:
-    """(t, id, n, copy, sig, sig2): the number of runs, the copy key of the text, and the slots with and, near the limit, without the common runs."""
+    """(t, id, n, copy, sig, sig2): the number of different runs, the copy key of the text, and the slots with and, near the limit, without the common runs."""
     shared = rows.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,9 +166,10 @@ def signatures(rows: DataFrame, common: np.ndarray) -> DataFrame:
                 sig = _slots(flat[mask], np.concatenate([[0], np.cumsum(kept)[:-1]]))
                 for r, s in zip(rows_in.tolist(), sig):
                     into[r] = s.tobytes()
+            different = [len(np.unique(flat[e : e + k])) for e, k in zip(starts.tolist(), sizes.tolist())]
             copies = [hashlib.blake2b(" ".join(w).encode("utf-8", "surrogatepass"), digest_size=16).digest() for w in words]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([t for t, _ in ids], pa.int32()), pa.array([i for _, i in ids], pa.int64()), pa.array(sizes.astype(np.int32)), pa.array(copies, pa.binary()), pa.array(first, pa.binary()), pa.array(second, pa.binary())], names=["t", "id", "n", "copy", "sig", "sig2"]
+                [pa.array([t for t, _ in ids], pa.int32()), pa.array([i for _, i in ids], pa.int64()), pa.array(different, pa.int32()), pa.array(copies, pa.binary()), pa.array(first, pa.binary()), pa.array(second, pa.binary())], names=["t", "id", "n", "copy", "sig", "sig2"]
             )
 
     return rows.mapInArrow(run, "t int, id long, n int, copy binary, sig binary, sig2 binary")
@@ -177,7 +178,7 @@ def signatures(rows: DataFrame, common: np.ndarray) -> DataFrame:
 def _to_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(shard, id, bits, tail): every record in one shard for each band.
 
-    tail holds, from the lowest bit, 32 more bits of the fingerprint, t, whether common runs count, and the number of runs.
+    tail holds, from the lowest bit, 32 more bits of the fingerprint, t, whether common runs count, and the number of different runs.
     """
     for batch in batches:
         t = np.asarray(batch.column(0), dtype=np.uint64)
