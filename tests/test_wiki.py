@@ -1,4 +1,7 @@
+import random
+
 from vanthu.operators import wiki
+from vanthu.plans import registry
 
 DOC = "doc_id long, doc_number string, doc_type string, title string, issuing_date string, issuing_authority string, effectiveness_status string, effective_date string, created_at string, content_markdown string"
 CHUNK = "id long, document_id long, chunk_index int, dieu int, text string"
@@ -29,3 +32,27 @@ def test_key_points_of_the_first_fifteen_at_any_index(spark):
     got = {r.document_id: r.key_points for r in wiki.key_points(spark.createDataFrame(rows, CHUNK)).collect()}
     assert got[1] == [f"Điều 3: Nội dung số {k:03d} của khoản" for k in range(5)]
     assert got[2] == [f"Điều 4: Nội dung số {k:03d} của khoản" for k in (0, 14)]
+
+
+def test_orphans_against_brute_force(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(300):
+        title = rng.choice(["Quyết định về việc phê duyệt", "Quyết định về việc phân", "", "Nghị", f"Công văn số {i} của Bộ"]) + rng.choice(["", f" {i % 40}"])
+        text = rng.choice(["", f"xem trang-{rng.randrange(300)}-{'x' * 30} và", f"# {title} 😀", "Quyết định về việc p", f"trang-{rng.randrange(300)}-" + "x" * 29])
+        rows.append((f"trang-{i}-{'x' * rng.choice([1, 30])}", title, text))
+    want = {s for s, t, _ in rows if not any(o != s and (s in md or t[:20] in md) for o, _, md in rows)}
+    pages = spark.createDataFrame(rows, "slug string, title string, markdown string")
+    assert {r.slug for r in wiki.orphans(pages).collect()} == want and 0 < len(want) < 300
+    assert wiki.orphans(pages.limit(0)).count() == 0
+    assert [r.slug for r in wiki.orphans(spark.createDataFrame([("một", "", "một")], pages.schema)).collect()] == ["một"]
+
+
+def test_lint_of_compiled_pages(spark, small):
+    q = registry.queries()
+    pages = {r.slug: r for r in q["q_compile_wiki"](spark, small).collect()}
+    got = {r.slug: r for r in q["q_lint_pages"](spark, small).collect()}
+    assert set(got) == set(pages)
+    for s, p in pages.items():
+        assert got[s].orphan == (not any(o != s and (s in x.markdown or p.title[:20] in x.markdown) for o, x in pages.items()))
+    assert q["q_pages_status"](spark, small).first().wiki_pages == len(pages)

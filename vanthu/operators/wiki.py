@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from vanthu.functions import text as T
+from vanthu.runtime import cut
+
+#: A needle is looked up by its first so many characters.
+KEY = 20
+TABLE_BITS, HASHES = 1 << 27, 3  # 16 megabytes, three bits a key
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
 
 
 def key_points(chunks: DataFrame) -> DataFrame:
@@ -95,24 +106,96 @@ def broken_links(pages: DataFrame) -> DataFrame:
     return keyed.join(known, F.col("base") == F.col("k"), "left_anti").join(known, F.col("whole") == F.col("k"), "left_anti").select("slug", "link").distinct()
 
 
+def _window_hashes(codes: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, 64-bit hash of each window of so many characters)."""
+    n = len(codes)
+    up, down = np.full(n, _BASE, dtype=np.uint64), np.full(n, _BACK, dtype=np.uint64)
+    up[:1] = down[:1] = 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * np.cumprod(up))])
+    down = np.cumprod(down)
+    for k in lengths:
+        if k <= n:
+            x = (sums[k:] - sums[:-k]) * down[: n - k + 1]
+            x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            yield k, x ^ (x >> np.uint64(29))
+
+
+def _bits(h: np.ndarray) -> Iterator[np.ndarray]:
+    """The places of hashes in a bit table, one array for each of HASHES."""
+    for _ in range(HASHES):
+        yield h >> np.uint64(37)
+        h = h * np.uint64(0x94D049BB133111EB) + np.uint64(1)
+        h ^= h >> np.uint64(32)
+
+
+def _codes(s: str) -> np.ndarray:
+    return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def holders(pages: DataFrame, needles: DataFrame) -> DataFrame:
+    """(needle, low, high): the lowest and highest slug of the pages that hold a needle, for needles that are not empty.
+
+    A page can only hold a needle if it holds the first ``KEY`` characters of it, which is an equi-join on the windows of its
+    text; the characters after them are then compared. Bit tables of fixed size keep other windows out of the shuffle, and the
+    text after the first characters where no needle is longer; the pages of a hot start are then one row.
+    """
+    keyed = cut(needles.where("needle <> ''").select("needle", F.substring("needle", 1, KEY).alias("key")).distinct())
+    lengths = sorted(r[0] for r in keyed.select(F.length("key")).distinct().collect())
+    longest = keyed.agg(F.max(F.length("needle"))).first()[0] or 0
+    sc = pages.sparkSession.sparkContext
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = np.array([int(next(_window_hashes(_codes(k), [len(k)]))[1][0]) for k in batch.column(0).to_pylist()], dtype=np.uint64)
+            at = np.concatenate(list(_bits(h))).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.int64(1) << (at & 63))], names=["w", "bit"])
+
+    def table(keys: DataFrame):
+        words = keys.distinct().mapInArrow(hashed, "w long, bit long").groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
+        bits = np.zeros(TABLE_BITS // 64, dtype=np.int64)
+        bits[words["w"].to_numpy()] = words["bits"].to_numpy()
+        return sc.broadcast(bits.view(np.uint64))
+
+    every, longer = table(keyed.select("key")), table(keyed.where(F.length("needle") > KEY).select("key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def among(shared, h: np.ndarray) -> np.ndarray:
+            at = np.arange(len(h))
+            for x in _bits(h):
+                x = x[at]
+                at = at[((shared.value[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1)).astype(bool)]
+            return at
+
+        for batch in batches:
+            slugs, keys, texts = [], [], []
+            for slug, text in zip(*(c.to_pylist() for c in batch.columns)):
+                found = set()
+                for k, h in _window_hashes(_codes(text), lengths):
+                    hit = among(every, h)
+                    found |= {(text[i : i + k],) * 2 for i in hit.tolist()}
+                    if k == KEY and longest > KEY:
+                        found |= {(text[i : i + k], text[i : i + longest]) for i in hit[among(longer, h[hit])].tolist()}
+                slugs += [slug] * len(found)
+                keys += [k for k, _ in found]
+                texts += [t for _, t in found]
+            yield pa.RecordBatch.from_arrays([pa.array(slugs, pa.string()), pa.array(keys, pa.string()), pa.array(texts, pa.string())], names=["slug", "key", "text"])
+
+    held = pages.where("markdown <> ''").select("slug", "markdown").mapInArrow(run, "slug string, key string, text string")
+    held = held.groupBy("key", "text").agg(F.min("slug").alias("low"), F.max("slug").alias("high"))
+    return keyed.join(held, "key").where(F.startswith("text", "needle")).groupBy("needle").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+
+
 def orphans(pages: DataFrame) -> DataFrame:
     """(slug): pages of which no other page holds the slug or the first twenty characters of the title.
 
-    Containment has no key, so text is looked up by token: a page can only hold a slug or title start if it holds its longest
-    token, which is an equi-join; the few pairs left are checked for containment.
+    Each different needle is looked up once, however many pages share it; a page is held by another one if the lowest or the
+    highest slug that holds its needle is not its own. The empty needle is held by every page.
     """
-    ends = pages.select("slug", F.explode(F.array(F.col("slug"), F.substring("title", 1, 20))).alias("needle")).distinct()
-    empty = ends.where("needle = ''").select("slug")
-    inner = F.filter(F.split(F.lower("needle"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    whole = F.when(F.size(inner) > 2, F.slice(inner, 2, F.size(inner) - 2)).otherwise(F.array().cast("array<string>"))  # first and last may go on in the text
-    longest = F.array_max(F.transform(whole, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = ends.withColumn("tok", longest)
-    text = pages.select(F.col("slug").alias("other"), F.coalesce("markdown", F.lit("")).alias("md"))
-    tokens = text.select("other", "md", F.explode(F.array_distinct(F.split(F.lower("md"), r"[^\p{L}\p{N}]+"))).alias("tok"))
-    hit = keyed.where("tok is not null").join(tokens, "tok").where((F.col("slug") != F.col("other")) & F.contains("md", F.col("needle"))).select("slug")
-    short = keyed.where("tok is null and needle <> ''").select("slug", "needle").distinct()
-    held = text.join(short, F.contains("md", F.col("needle")) & (F.col("slug") != F.col("other"))).select("slug")
-    return pages.select("slug").distinct().join(hit.unionByName(held).unionByName(empty).distinct(), "slug", "left_anti")
+    ends = pages.select("slug", F.explode(F.array(F.col("slug"), F.substring("title", 1, 20))).alias("needle")).where("needle is not null").distinct()
+    every = pages.agg(F.lit("").alias("needle"), F.min("slug").alias("low"), F.max("slug").alias("high"))
+    at = holders(pages, ends.select("needle")).unionByName(every)
+    held = ends.join(at, "needle").where((F.col("low") != F.col("slug")) | (F.col("high") != F.col("slug"))).select("slug").distinct()
+    return pages.select("slug").distinct().join(held, "slug", "left_anti")
 
 
 def lint(pages: DataFrame, docs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vanthu.functions import dims, text as T
 from vanthu.operators import chat, docgen, guard, ingest, rag, relations, search, wiki
 from vanthu.plans import sqltext as S
-from vanthu.runtime import ensure_checkpoint_dir, table
+from vanthu.runtime import cut, ensure_checkpoint_dir, table
 from vanthu.streaming import incremental
 
 QUERIES: dict = {}
@@ -284,6 +284,19 @@ def dml_upsert_slug(spark, d):
     return wiki.upsert(page.where("false"), page).select("slug", "document_id")
 
 
+@query()
+def q_lint_pages(spark, d):
+    """Lint of the compiled pages; q_lint_wiki, whose SQL is over made-up pages, is its fixture."""
+    return wiki.lint(cut(_pages(spark, d)), docs(spark, d))
+
+
+@query()
+def q_pages_status(spark, d):
+    """Status of the compiled pages after their lint."""
+    pages = cut(_pages(spark, d))
+    return wiki.status(pages.select("slug", "reviewed").join(wiki.lint(pages, docs(spark, d)), "slug"))
+
+
 def _linked(spark, d):
     """Pages whose text links to the next document's page and, for every fifth, to a missing one."""
     slug = F.concat(F.lit("trang-so-"), F.col("doc_id").cast("string"), F.lit("-x"))
