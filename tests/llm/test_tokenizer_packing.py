@@ -70,11 +70,21 @@ def test_packing_against_brute_force(sizes):
         assert np.bincount(w, weights=sizes).max() <= 20 and w.max() + 1 <= brute(sorted(sizes, reverse=True), 20) + 1
 
 
+def best_fit_decreasing(sizes, capacity):
+    return len(set(packing._best_fit(sizes, np.arange(len(sizes)), capacity, 0)[0].values()))
+
+
 def test_packing_is_tight():
-    rng = random.Random(3)
-    sizes = np.array([rng.randint(1, 2048) for _ in range(2000)])
-    w = packing.pack(sizes, 2048)
-    assert np.bincount(w, weights=sizes).max() <= 2048 and (w.max() + 1) <= 1.03 * max(-(-sizes.sum() // 2048), (2 * sizes > 2048).sum())
+    """At most half a percent above the bound, and never above best-fit decreasing, for even and for skewed sizes."""
+    rng = np.random.default_rng(3)
+    even = rng.integers(1, 2049, 3000)
+    skewed = np.clip(rng.lognormal(6.5, 1.0, 3000).astype(np.int64), 1, 2048)
+    narrow = np.clip(rng.lognormal(6.8, 0.6, 3000).astype(np.int64), 1, 2048)
+    for sizes in (even, skewed, narrow):
+        w = packing.pack(sizes, 2048)
+        bound = max(-(-sizes.sum() // 2048), (2 * sizes > 2048).sum())
+        assert np.bincount(w, weights=sizes).max() <= 2048 and w.min() == 0
+        assert w.max() + 1 <= best_fit_decreasing(sizes, 2048) and w.max() + 1 <= 1.006 * bound
 
 
 def test_containers(spark):
