@@ -80,10 +80,22 @@ def test_limit_does_not_change_the_candidates(spark, monkeypatch):
         rows.append((1, i, " ".join(w)))
     sigs = N.cut(N.signatures(spark.createDataFrame(rows, "t int, id long, text string"), np.zeros(0, np.uint64)))
     got = []
-    for limit in (N.SHARD_LIMIT, 40):
+    for limit, sample in ((N.SHARD_LIMIT, N.SAMPLE), (40, N.SAMPLE), (40, 1), (12, 1)):
         monkeypatch.setattr(N, "SHARD_LIMIT", limit)
+        monkeypatch.setattr(N, "SAMPLE", sample)
         got.append({(r.a, r.b) for r in N.candidates(sigs.select("t", "id", "n", "sig", "sig2")).collect()})
-    assert got[0] == got[1] and got[0]
+    assert got[0] and all(g == got[0] for g in got)
+
+
+def test_a_large_shard_is_not_held(spark):
+    """A whole shard beyond the limit that comes in several batches is told by its size, the ones around it are compared."""
+    import pyarrow as pa
+
+    rows = [(1, 10), (1, 11)] + [(5, 100 + i) for i in range(90)] + [(7, 20), (7, 21)]
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([s for s, _ in part], pa.int64()), pa.array([i for _, i in part], pa.int64()), pa.array([0] * len(part), pa.int64()), pa.array([(4 * 60) << 32] * len(part), pa.int64())], names=["shard", "id", "bits", "tail"])
+    for step in (1, 7, 94):
+        got = [tuple(r.values()) for b in N._shard_pairs(iter([batch(rows[k : k + step]) for k in range(0, len(rows), step)]), 50) for r in b.to_pylist()]
+        assert sorted(got) == [(-1, 5, 90, 0), (0, 10, 11, 0), (0, 20, 21, 0)], step
 
 
 def test_repeated_passages_count_once(spark):

@@ -1,10 +1,12 @@
 """Problem 6: near-duplicate records with small edits.
 
-Method: records get Hamming fingerprints (one bit of each of 96 min-hash slots over runs of three words), and vantage-point
-trees answer range queries on them, pruning branches by the triangle inequality; the pairs they return are checked exactly.
-A single tree over all records would prune nothing: unrelated records lie at nearly the same distance from every vantage
-point. The records are therefore partitioned into overlapping shards first (each record is in one shard for each band of
-min-hash slots, so two versions that lie on both sides of one shard's boundary meet in another), and each shard has its tree.
+The method named for this problem, vantage-point trees over Hamming fingerprints, cannot carry the search here, and is
+replaced: at a similarity of one half two versions differ in a quarter of their bits and unrelated records in 49 % of them,
+with hardly any spread, so the triangle inequality leaves no branch whatever the length of the fingerprint (the README has
+the figures). What carries the search are overlapping shards: records get Hamming fingerprints (one bit of each of 96
+min-hash slots over runs of three words) and are in one shard for each band of slots, so two versions that lie on both
+sides of one shard's boundary meet in another. Inside a shard of more than a few members a vantage-point tree answers the
+range query, since there, among versions of one text, branches do end; the pairs found are checked exactly.
 
 Runs that at least a tenth of all records hold (letterheads, set phrases) are left out of the slots where enough others are
 left; a record of which they make up a fifth or more is placed with them as well. Exact copies are one record until the end.
@@ -37,7 +39,11 @@ ALONE, TWICE = 28, 35  # the radius for pairs that meet in one or two shards onl
 RARE_FROM, WHOLE_BELOW = 0.3, 0.8
 LEAF = 32
 SHARD_LIMIT = 8192  # members of one shard compared in one task; the pairs of a larger shard are spread over tiles of half that size
-BLOOM_BITS = 1 << 24
+#: One record in so many tells, before anything is placed, which shards are large. The result does not depend on it.
+SAMPLE = 64
+HOT_BROADCAST = 100_000  # large shards are broadcast up to so many, else joined
+#: Bits of the table of records in a pair: the least, the most (128 megabytes), and how many a record.
+BLOOM_BITS, BLOOM_MOST, BLOOM_EACH = 1 << 24, 1 << 30, 16
 TASK_BYTES, ROW_BYTES = 128 << 20, 48  # rows of a shard task in memory
 _rng = np.random.default_rng(20240607)
 _MULTIPLIERS = (_rng.integers(1, 1 << 32, SLOTS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -100,7 +106,7 @@ def _flat(words: list, codes: _Codes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def common_runs(rows: DataFrame) -> np.ndarray:
-    """Keys of the runs that occur in at least ``COMMON`` of all records, per table folded together.
+    """Keys of the runs that occur, repeats within a record included, ``COMMON`` times as often as there are records.
 
     Each block of rows reports the runs that are common in it, with counts; a run common in all rows is common in some
     block. As a record holds a few hundred runs, at most a few hundred times 1 / COMMON keys reach the driver.
@@ -258,8 +264,9 @@ class VantageTree:
 def _shard_pairs(batches: Iterator[pa.RecordBatch], limit: int | None = SHARD_LIMIT) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of rows sorted by shard: (t, a, b, d). Small shards are compared together.
 
-    A shard beyond ``limit`` gives one row (-1, shard, members, 0) instead. A fifth column, where there is one, is the side of
-    a row in a tile of two sides, between which pairs are sought; -1 where both sides are one.
+    A fifth column, where there is one, is the side of a row: in a tile of two sides, between which pairs are sought, its
+    number; -1 in a tile of one side; -2 in a whole shard. A whole shard beyond ``limit`` gives one row (-1, shard, members,
+    0) instead; no more than ``limit`` of its rows are held.
     """
 
     def out(ids, bits, tn, side, x, y) -> pa.RecordBatch:
@@ -279,71 +286,109 @@ def _shard_pairs(batches: Iterator[pa.RecordBatch], limit: int | None = SHARD_LI
             if len(a):
                 yield out(ids, bits, tn, side, a, a + off)
         for e, n in zip(edge[size > LEAF].tolist(), size[size > LEAF].tolist()):
-            if limit and n > limit:
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([shard[e]], pa.int64()), pa.array([n], pa.int64()), pa.array([0], pa.int16())], names=["t", "a", "b", "d"])
+            if limit and n > limit and side[e] == -2:
+                yield large(shard[e], n)
                 continue
             s = slice(e, e + n)
             a, b = VantageTree(bits[s]).pairs(RADIUS[(int(tn[e]) >> 1) & 1])
             yield out(ids, bits, tn, side, a + e, b + e)
 
-    held: list[tuple] = []
+    def large(shard, n) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([shard], pa.int64()), pa.array([n], pa.int64()), pa.array([0], pa.int16())], names=["t", "a", "b", "d"])
+
+    held: list[list[np.ndarray]] = []  # parts of the last shard, which may go on in the next batch
+    members = 0
     for batch in batches:
+        if not batch.num_rows:
+            continue
         shard, ids, bits, tail = (np.asarray(batch.column(k)) for k in range(4))
-        side = np.asarray(batch.column(4)) if batch.num_columns > 4 else np.full(len(ids), -1, dtype=np.int32)
+        side = np.asarray(batch.column(4)) if batch.num_columns > 4 else np.full(len(ids), -2, dtype=np.int32)
         cols = [shard, ids, np.stack([bits, tail & 0xFFFFFFFF], axis=1).view(np.uint64), (tail >> 32).astype(np.int32), side]
-        if held:
-            cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
-        cutoff = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0  # the last shard may go on in the next batch
-        if cutoff:
-            yield from work(*(c[:cutoff] for c in cols))
-        held = [c[cutoff:] for c in cols]
-    if held and len(held[0]):
-        yield from work(*held)
+        start = 0
+        if held and held[0][0][0] == shard[0]:  # the held shard goes on
+            start = int(np.searchsorted(shard, shard[0], side="right"))
+            if not (limit and members > limit and side[0] == -2):
+                held.append([c[:start] for c in cols])
+            members += start
+            if start == len(shard):
+                continue
+        last = int(np.searchsorted(shard, shard[-1]))
+        if held and limit and members > limit and held[0][4][0] == -2:
+            yield large(held[0][0][0], members)
+            held = []
+        if held or last > start:
+            yield from work(*(np.concatenate([*(h[k] for h in held), c[start:last]]) for k, c in enumerate(cols)))
+        held, members = [[c[last:] for c in cols]], len(shard) - last
+    if held and limit and members > limit and held[0][4][0] == -2:
+        yield large(held[0][0][0], members)
+    elif held:
+        yield from work(*(np.concatenate([h[k] for h in held]) for k in range(5)))
+
+
+def _tiles(placed: DataFrame, large: DataFrame, others: bool) -> DataFrame:
+    """``placed`` with the shards of ``large`` (shard, p) spread over p * (p + 1) / 2 tiles; with ``others``, all other shards whole."""
+    few = large.count() <= HOT_BROADCAST
+    rows = placed.join(F.broadcast(large) if few else large, "shard", "left" if others else "inner")
+    i = F.pmod(F.xxhash64("id"), F.col("p")).cast("int")
+    tile = lambda j: F.struct(F.xxhash64("shard", F.least(F.col("i"), j), F.greatest(F.col("i"), j)).alias("shard"), F.when(F.col("i") == j, -1).otherwise(F.col("i")).alias("side"))
+    whole = F.array(F.struct(F.col("shard"), F.lit(-2).alias("side")))
+    at = F.when(F.col("p").isNull(), whole).otherwise(F.transform(F.sequence(F.lit(0), F.col("p") - 1), tile))
+    return rows.withColumn("i", i).select(F.explode(at).alias("s"), "id", "bits", "tail").select("s.shard", "id", "bits", "tail", "s.side")
 
 
 def candidates(sigs: DataFrame) -> DataFrame:
-    """(t, a, b): pairs of representatives within the radius that meet in several shards, or within a smaller one in few."""
-    placed = sigs.select("t", "id", "n", "sig", "sig2").mapInArrow(_to_shards, "shard long, id long, bits long, tail long")
+    """(t, a, b): pairs of representatives within the radius that meet in several shards, or within a smaller one in few.
+
+    A sample of the records tells which shards are large; these are placed in tiles from the start, so that no task gets
+    one whole. A shard that turns out large all the same is tiled afterwards.
+    """
+
+    def place(rows: DataFrame) -> DataFrame:
+        return rows.select("t", "id", "n", "sig", "sig2").mapInArrow(_to_shards, "shard long, id long, bits long, tail long")
+
+    placed, limit = place(sigs), SHARD_LIMIT
+    parts = lambda n: F.ceil(n * 2 / SHARD_LIMIT).cast("int").alias("p")
+    seen = place(sigs.where(F.pmod(F.xxhash64("id", "t"), F.lit(SAMPLE)) == 0)).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+    hot = cut(seen.where(F.col("n") * SAMPLE > SHARD_LIMIT).select("shard", parts(F.col("n") * SAMPLE)))
 
     # few large tasks: the rows of one record that go to the same task lie together and are packed well in the shuffle
     size = sigs.count() * sum(b for b, _ in BANDS) * ROW_BYTES
     tasks = max(2 * sigs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
 
-    def met(rows: DataFrame, limit: int | None) -> DataFrame:
-        """(t, a, b, k, d): how often a pair meets and its distance; a shard beyond ``limit`` as (-1, shard, members, 1, 0)."""
+    def met(rows: DataFrame) -> DataFrame:
+        """(t, a, b, k, d): how often a pair meets and its distance; a whole shard beyond the limit as (-1, shard, members, 1, 0)."""
         by_shard = rows.repartition(tasks, "shard").sortWithinPartitions("shard")
         near = by_shard.mapInArrow(lambda it: _shard_pairs(it, limit), "t int, a long, b long, d short")
         return cut(near.groupBy("t", "a", "b").agg(F.count(F.lit(1)).alias("k"), F.min("d").alias("d")))
 
-    near = met(placed, SHARD_LIMIT)
-    large = near.where("t = -1").select(F.col("a").alias("shard"), F.ceil(F.col("b") * 2 / SHARD_LIMIT).cast("int").alias("p"))
+    near = met(placed if hot.isEmpty() else _tiles(placed, hot, True))
+    large = near.where("t = -1").select(F.col("a").alias("shard"), parts(F.col("b")))
     if not large.isEmpty():
-        tiled = placed.join(large, "shard").withColumn("i", F.pmod(F.xxhash64("id"), F.col("p")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
-        tiles = tiled.select(F.xxhash64("shard", F.least("i", "j"), F.greatest("i", "j")).alias("shard"), "id", "bits", "tail", F.when(F.col("i") == F.col("j"), -1).otherwise(F.col("i")).alias("side"))
         # a pair meets in shards of both kinds: the radius depends on all of them
-        near = near.where("t >= 0").unionByName(met(tiles, None)).groupBy("t", "a", "b").agg(F.sum("k").alias("k"), F.min("d").alias("d"))
+        near = near.where("t >= 0").unionByName(met(_tiles(placed, large, False))).groupBy("t", "a", "b").agg(F.sum("k").alias("k"), F.min("d").alias("d"))
     return cut(near.where(F.col("d") <= F.when(F.col("k") == 1, ALONE).when(F.col("k") == 2, TWICE).otherwise(RADIUS[0])).select("t", "a", "b"))
 
 
-def _bloom(ids: DataFrame) -> np.ndarray:
-    """A fixed-size bit table of the hashes in ``ids`` (h): two megabytes at any scale."""
+def _bloom(ids: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
+    """A bit table of the hashes in ``ids`` (h), which are below ``bits``."""
     words = ids.select((F.col("h") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(h % 64 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
-    table = np.zeros(BLOOM_BITS // 64, dtype=np.int64)
+    table = np.zeros(bits // 64, dtype=np.int64)
     table[words["w"].to_numpy()] = words["bits"].to_numpy()
     return table.view(np.uint64)
 
 
-def _hash(t, i):
-    return F.pmod(F.xxhash64(t, i), F.lit(BLOOM_BITS))
+def _hash(t, i, bits: int):
+    return F.pmod(F.xxhash64(t, i), F.lit(bits))
 
 
 def exact_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of ``pairs`` (t, a, b) whose shared runs are at least half of all their runs.
 
-    Only records that are in a pair are sent on with their runs; a fixed-size bit table keeps the others out of the shuffle.
+    Only records that are in a pair are sent on with their runs; a bit table of bounded size keeps the others out of the shuffle.
     """
     ends = pairs.select("t", F.explode(F.array("a", "b")).alias("id"))
-    shared = rows.sparkSession.sparkContext.broadcast(_bloom(ends.select(_hash("t", "id").alias("h"))))
+    bits = min(BLOOM_MOST, max(BLOOM_BITS, 1 << (BLOOM_EACH * 2 * pairs.count()).bit_length()))
+    shared = rows.sparkSession.sparkContext.broadcast(_bloom(ends.select(_hash("t", "id", bits).alias("h")), bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, table = _Codes(), shared.value
@@ -375,7 +420,7 @@ def exact_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
                     keep.append(k)
             yield batch.select([0, 1, 2]).take(pa.array(keep, pa.int64()))
 
-    sets = rows.withColumn("h", _hash("t", "id")).mapInArrow(run, "t int, id long, runs binary")
+    sets = rows.withColumn("h", _hash("t", "id", bits)).mapInArrow(run, "t int, id long, runs binary")
     sets = cut(sets)  # rows delivered twice are here twice; the pairs are made distinct
     a = sets.select("t", F.col("id").alias("a"), F.col("runs").alias("x"))
     b = sets.select("t", F.col("id").alias("b"), F.col("runs").alias("y"))
