@@ -1,5 +1,7 @@
 """Problems 3 and 5 on small tables with known results, and their defined cases."""
 
+from pyspark.sql import functions as F
+
 from vanthu.operators import hierarchy, references
 
 SECTIONS = "id long, document_id long, parent_id long, section_type string, number string, title string, extra int"
@@ -13,7 +15,7 @@ def test_faults_and_paths(spark):
     rows = [(9, None, "phan", "I"), (1, 9, "dieu", "1"), (2, 1, "khoan", None), (3, 4, "dieu", "x"), (4, 3, "dieu", "y"), (5, 3, "khoan", "1"), (6, 77, "dieu", "7"), (7, 6, "khoan", "1"), (8, 8, "dieu", "8"), (2, 1, "khoan", None)]
     df = sections(spark, rows)
     assert {(r.id, r.fault) for r in hierarchy.faults(df).collect()} == {(3, "on_cycle"), (4, "on_cycle"), (8, "on_cycle"), (5, "below_cycle"), (6, "missing_parent")}
-    nodes, below = hierarchy.hierarchy(df)
+    nodes, below = hierarchy.hierarchy(df), hierarchy.descendants(df)
     got = {r.id: r for r in nodes.collect()}
     assert got[2].path == "phan I/dieu 1/khoan" and got[2].depth == 3 and got[2].root_id == 9 and got[9].n_descendants == 2
     assert got[7].rooted is False and got[7].path == "dieu 7/khoan 1" and set(got) == {9, 1, 2, 6, 7}
@@ -26,7 +28,7 @@ def test_deep_chain_and_long_cycle(spark):
     df = sections(spark, chain + ring)
     faults = {r.id: r.fault for r in hierarchy.faults(df).collect()}
     assert faults == {100 + i: "on_cycle" for i in range(13)} | {200: "below_cycle", 201: "below_cycle"}
-    nodes, below = hierarchy.hierarchy(df)
+    nodes, below = hierarchy.hierarchy(df), hierarchy.descendants(df)
     assert {r.id: r.depth for r in nodes.collect()} == {i: i + 1 for i in range(70)}
     assert below.count() == 70 * 69 // 2
 
@@ -34,7 +36,21 @@ def test_deep_chain_and_long_cycle(spark):
 def test_empty_sections(spark):
     df = sections(spark, [])
     assert hierarchy.faults(df).count() == 0
-    assert all(x.count() == 0 for x in hierarchy.hierarchy(df))
+    assert hierarchy.hierarchy(df).count() == hierarchy.descendants(df).count() == 0
+
+
+def test_many_children_and_a_long_chain(spark, monkeypatch):
+    """One parent of 10^5 children and a chain of 5,000, with blocks far smaller than the tours."""
+    monkeypatch.setattr(hierarchy, "TOP_LEVEL", 9)
+    wide, deep = 100_000, 5_000
+    rows = spark.range(wide + 1).select("id", F.when(F.col("id") > 0, 0).cast("long").alias("parent_id"), F.lit("d").alias("section_type"), F.lit(None).cast("string").alias("number"))
+    chain = spark.range(200_000, 200_000 + deep).select("id", F.when(F.col("id") > 200_000, F.col("id") - 1).alias("parent_id"), F.lit("k").alias("section_type"), F.lit(None).cast("string").alias("number"))
+    df = rows.unionByName(chain)
+    got = {r.root_id: r for r in hierarchy.hierarchy(df).groupBy("root_id").agg(F.max("depth").alias("depth"), F.max("n_descendants").alias("n"), F.max("exit").alias("exit"), F.count_distinct("entry").alias("entries"), F.max(F.length("path")).alias("path")).collect()}
+    assert (got[0].depth, got[0].n, got[0].exit, got[0].entries, got[0].path) == (2, wide, 2 * wide + 1, wide + 1, 3)
+    assert (got[200_000].depth, got[200_000].n, got[200_000].exit, got[200_000].entries, got[200_000].path) == (deep, deep - 1, 2 * deep - 1, deep, 2 * deep - 1)
+    below = hierarchy.descendants(df.where("id < 200300"))
+    assert below.agg(F.count(F.lit(1)), F.count_distinct("id", "descendant_id")).first() == (wide + 300 * 299 // 2,) * 2
 
 
 def frames(spark, documents, deletions, chunks, relations):

@@ -11,11 +11,11 @@ def p3_found(spark, d):
 
 
 def p3_hierarchy(spark, d):
-    return hierarchy.hierarchy(table(spark, d, "doc_sections"))[0]
+    return hierarchy.hierarchy(table(spark, d, "doc_sections"))
 
 
 def p3_descendants(spark, d):
-    return hierarchy.hierarchy(table(spark, d, "doc_sections"))[1]
+    return hierarchy.descendants(table(spark, d, "doc_sections"))
 
 
 def p5_found(spark, d):
@@ -40,6 +40,12 @@ missing AS (SELECT id FROM n WHERE parent_id IS NOT NULL AND parent_id NOT IN (S
 ok AS (SELECT * FROM n WHERE id NOT IN (SELECT id FROM on_cycle UNION SELECT id FROM below)),
 clos AS (SELECT id AS descendant_id, id AS anc, 0 AS dist FROM ok UNION ALL SELECT u.id, u.anc, u.hops FROM up u JOIN ok ON ok.id = u.id)
 """
+_DOWN = _TREE + """,
+down AS (SELECT id, id AS root_id, 1 AS depth, trim(coalesce(section_type, '') || ' ' || coalesce(number, '')) AS path, [id] AS ids, parent_id IS NULL AS rooted FROM ok WHERE parent_id IS NULL OR id IN (SELECT id FROM missing)
+  UNION ALL SELECT c.id, p.root_id, p.depth + 1, p.path || '/' || trim(coalesce(c.section_type, '') || ' ' || coalesce(c.number, '')), list_append(p.ids, c.id), p.rooted FROM down p JOIN ok c ON c.parent_id = p.id),
+pre AS (SELECT *, row_number() OVER (PARTITION BY root_id ORDER BY ids) - 1 AS k FROM down),
+below_n AS (SELECT anc AS id, count(*) AS n FROM clos WHERE dist > 0 GROUP BY 1)
+"""
 _WIDE = "".join(chr(0xFF01 + i) for i in range(94))
 _ASCII = "".join(chr(0x21 + i) for i in range(94)).replace("'", "''")
 
@@ -63,6 +69,7 @@ _REFS = (
 
 ORACLE_SQL = {
     "p3_found": _TREE + "SELECT id, 'on_cycle' AS fault FROM on_cycle UNION ALL SELECT id, 'below_cycle' FROM below UNION ALL SELECT id, 'missing_parent' FROM missing",
+    "p3_hierarchy": _DOWN + "SELECT pre.id, root_id, depth, path, coalesce(n, 0) AS n_descendants, 2 * k - depth + 1 AS entry, 2 * k - depth + 2 + 2 * coalesce(n, 0) AS exit, rooted FROM pre LEFT JOIN below_n USING (id)",
     "p3_descendants": _TREE + "SELECT anc AS id, descendant_id FROM clos WHERE dist > 0",
     "p5_found": _REFS + "SELECT ref_table, ref_column, ref_id, period, state FROM found",
     "p5_by_period": _REFS + "SELECT ref_table, ref_column, period, state, count(*) AS n FROM found GROUP BY ALL",

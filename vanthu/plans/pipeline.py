@@ -55,7 +55,7 @@ literal("fn_build_fts_query", lambda c: F.array_join(F.transform(F.regexp_extrac
 literal("fn_wikilinks", lambda c: F.array_join(T.wiki_links(c), ","), [("a [[x/y|z]] [[q]]", "x/y,q"), ("none", "")])
 literal("fn_llm_json_salvage", lambda c: F.get_json_object(T.salvage_json(c), "$.answer"), [('<thought>no</thought>```json\n{"answer": "a"}\n```', "a"), ('text {"answer": "b"} tail', "b"), ("nothing", None)])
 literal("fn_doc_number_extract", ingest.number_in_head, [("CỘNG HÒA\nSố: 698/QĐ-TTg,\nx", "698/QĐ-TTg"), ("a\n15/2020/NĐ-CP b", "15/2020/NĐ-CP"), ("không", None)])
-literal("fn_parse_clean_title", ingest.clean_title_udf, [("QUYẾT ĐỊNH\nVề việc phê duyệt kế hoạch nạo vét\nCăn cứ Luật", "Về việc phê duyệt kế hoạch nạo vét"), ("V/v kiểm kê định kỳ thiết bị đo mưa", "Về việc kiểm kê định kỳ thiết bị đo mưa"), ("", "")])
+literal("fn_parse_clean_title", ingest.clean_title, [("QUYẾT ĐỊNH\nVề việc phê duyệt kế hoạch nạo vét\nCăn cứ Luật", "Về việc phê duyệt kế hoạch nạo vét"), ("V/v kiểm kê định kỳ thiết bị đo mưa", "Về việc kiểm kê định kỳ thiết bị đo mưa"), ("", "")])
 literal("fn_rrf", lambda c: F.round(1 / (dims.RRF_K + c.cast("int")), 9), [("1", round(1 / 61, 9)), ("200", round(1 / 260, 9))])
 literal("fn_md_line", lambda c: ingest.markdown_line(F.lit(3), c, F.lit(5), F.lit(2)), [("x", "\n### Khoan 2 (Dieu 5)\n\nx\n")])
 literal("fn_highlight_fixture", lambda c: T.highlight(c, "đất lúa"), [("Quy định về Đất trồng lúa", "Quy định về <mark>đất</mark> trồng <mark>lúa</mark>"), ("không có", "không có")])

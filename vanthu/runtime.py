@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -39,20 +40,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    The folder in ``spark.checkpoint.dir`` is used where the cluster names one; only a session without it
-    (tests, a single machine) gets a temporary folder.
+    The folder in ``spark.checkpoint.dir`` is used where the cluster names one. Only a session on one machine (master
+    ``local``: tests, a workstation) may go without and gets a temporary folder; on a cluster that is an error.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    folder = named or os.path.join(tempfile.gettempdir(), "vanthu-checkpoints")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "vanthu-checkpoints")
     sc.setCheckpointDir(folder)
-    return folder
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder; later plans start from there and survive lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # the plan's estimate of its size stays with a checkpoint; in loops of joins it would be squared in every step
+    if out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > 1 << 62:
+        jdf = out._jdf
+        out = DataFrame(df.sparkSession._jsparkSession.internalCreateDataFrame(jdf.queryExecution().toRdd(), jdf.schema(), False), df.sparkSession)
+    return out
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: like ``cut``, but compressed and read by column."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Deletes the session's checkpoints and tables of ``cut`` and ``stored``; frames that came from them are void then."""
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(current.get())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
