@@ -32,6 +32,14 @@ def test_paragraphs(spark):
     assert [r.text for r in sorted(rows, key=lambda r: r.paragraph)] == ["1. phòng kế hoạch tổng hợp phải gia hạn có điều kiện phương án di dời.", "2. kho vật tư dự phòng."]
 
 
+def test_paragraphs_of_repeated_rows(spark):
+    """Rows delivered twice give their paragraphs once; of different texts under one id one is kept whole."""
+    docs, none = frames(spark, ["1. phòng kế hoạch\ntổng hợp.\n2. kho vật tư.", "x"])
+    again = docs.unionByName(docs).unionByName(spark.createDataFrame([(1, "y z")], docs.schema)).withColumn("text", docs["content_markdown"])
+    got = {(r.id, r.paragraph): r.text for r in scans.paragraphs(again, none).collect() if r.id < 100}
+    assert len(got) == 3 and got[(0, 1)] == "1. phòng kế hoạch tổng hợp." and got[(0, 2)] == "2. kho vật tư." and got[(1, 1)] in ("x", "y z")
+
+
 def test_skeletons_meet():
     for bad, good in [("riăm", "năm"), ("kliu", "khu"), ("fhiểu", "thiểu"), ("dich", "dịch"), ("s@o", "sao"), ("ốn9", "ống"), ("g|ữ", "giữ"), ("đồrig", "đồng")]:
         assert scans.skeleton(bad) == scans.skeleton(good)
@@ -49,9 +57,16 @@ def test_truncated(spark):
     assert truncation.found(df.limit(0)).count() == 0
 
 
-def test_trie():
-    t = truncation.Trie({"quản": 1, "quản lý": 1, "quả": 1})
-    assert sorted(t.extensions("qu")) == ["quả", "quản", "quản lý"] and t.extensions("x") == []
+def test_trie(spark):
+    words = spark.createDataFrame([("quản",), ("quản lý",), ("quả",), ("x",)], "word string")
+    ends = spark.createDataFrame([("qu",), ("quản",), ("x",), ("y",)], "node string")
+    assert sorted(tuple(r) for r in truncation.trie(words, ends).collect()) == [("qu", "quả"), ("qu", "quản"), ("qu", "quản lý"), ("quản", "quản lý")]
+
+
+def test_long_residues_and_words():
+    assert truncation.core_of("kho vật tư" + "." * 300) == ("kho vật tư", True)
+    assert truncation.core_of("kho vật tư" + " " * 300) == ("kho vật tư", False)
+    assert truncation.core_of("a" * 500 + "…") == ("a" * 500, True)
 
 
 def test_several_forms_are_chosen_by_their_neighbours(spark):

@@ -1,15 +1,17 @@
 """Problem 1: visually identical text with different characters.
 
 Method: look-alike pairs of strings and code points are joined into transitive classes by union-find; the representative
-of a class is its most frequent member in the corpus; a multi-pattern automaton rewrites texts greedily (leftmost,
-longest) until nothing changes. Pairs come from the Unicode decompositions (full-width, no-break, compatibility letters
-and numerals; every spelling of an accented letter in separate parts), from the invisible and space categories, and from
-a table of letters of other alphabets. Letters of other alphabets are rewritten by word: in a word that also holds Latin
-letters or digits, or whose letters are all twins of Latin ones.
+of a class is its most frequent ordinary member in the corpus; a multi-pattern automaton rewrites texts greedily (leftmost,
+longest) until nothing changes. Pairs come from the Unicode decompositions (full-width, no-break, compatibility and
+mathematical letters and numerals; every spelling of an accented letter in separate parts), from the invisible and space
+categories, and from a table of letters of other alphabets. Letters of other alphabets are rewritten by word: in a word that
+also holds Latin letters, digits or marks of Latin letters. A word wholly of another alphabet, each of whose letters has a
+Latin twin, is an imitation only if frequencies say so: if the corpus holds the same word in Latin letters more often.
 
 Defined cases: null stays null and is no case; tab, newline and carriage return stay; superscripts, dashes longer than a
-hyphen, another visible placement of a tone mark, and words or symbols wholly of another alphabet stay; repeated rows
-count once (by id) in the found list; texts of any length are treated whole; extra columns are ignored.
+hyphen, another visible placement of a tone mark, and words or symbols wholly of another alphabet stay; a word that is as
+frequent in either alphabet stays; repeated rows count once (by id) in the found list; texts of any length are treated
+whole; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,13 +19,17 @@ from __future__ import annotations
 import itertools
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from vanthu.runtime import cut
+
 # Letters of other alphabets that are drawn exactly like a Latin letter.
 TWINS = {
     "А": "A", "Α": "A", "В": "B", "Β": "B", "С": "C", "Ϲ": "C", "Е": "E", "Ε": "E", "Н": "H", "Η": "H", "І": "I", "Ι": "I",
@@ -36,8 +42,16 @@ TWINS = {
 SAME = {"Ð": "Đ", "Ɖ": "Đ", "ɖ": "đ", "‐": "-", "‑": "-", "ı": "i", "ſ": "s", "ˈ": "'", "‚": ",", "∕": "/", "⁄": "/", "∶": ":", "ꞌ": "'", "˗": "-"}
 # Characters outside the format category that cannot be seen (controls, fillers, variation selectors).
 UNSEEN = [*range(0x00, 0x09), *range(0x0E, 0x20), *range(0x7F, 0x85), *range(0x86, 0xA0), 0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, *range(0xFE00, 0xFE10), 0xFFA0]
+# Characters of the format category that can be seen (number and verse signs of other alphabets).
+SEEN = {*range(0x0600, 0x0606), 0x06DD, 0x070F, 0x0890, 0x0891, 0x08E2, 0x110BD, 0x110CD}
+# Marks of Latin letters that other alphabets do not use.
+LATIN_MARKS = {0x0302, 0x0303, 0x0306, 0x0309, 0x031B, 0x0323}
 _TAGS = {"<wide>", "<narrow>", "<noBreak>", "<font>", "<compat>"}
-_LAST = 0x10000  # the supplementary planes hold no member but the invisible tags, which are matched by category
+_LAST = 0x20000  # above, only the invisible tags and variation selectors are members; they are matched by their range
+#: Words of another alphabet that imitate Latin ones are broadcast up to so many, else joined to the texts that hold them.
+BROADCAST_WORDS = 100_000
+_ANY_MARK = "\u0300-\u036f"
+_OTHER = "\u0370-\u058f"  # Greek, Cyrillic, Armenian
 
 
 class Classes:
@@ -88,7 +102,8 @@ def build_classes() -> Classes:
         if kind in ("Cn", "Cs", "Co"):
             continue
         if kind == "Cf":
-            classes.union(ch, "")
+            if cp not in SEEN:
+                classes.union(ch, "")
             continue
         if kind == "Zs":
             classes.union(ch, " ")
@@ -127,10 +142,24 @@ def representatives(classes: Classes, counts: dict[str, int]) -> dict[str, str]:
     return out
 
 
+_WORD = re.compile(rf"[^\W_](?:[^\W_]|[{_ANY_MARK}])*")
+_FOREIGN = re.compile(f"[{_OTHER}]")
+_LATIN_TWIN = re.compile(f"(?<![^\\W_])[{''.join(sorted(set(TWINS.values())))}]+(?![^\\W_]|[{_ANY_MARK}])")
+_TO_LATIN = str.maketrans(TWINS)
+
+
+def twin_words(text: str) -> Iterator[str]:
+    """The words wholly of another alphabet each of whose letters has a Latin twin."""
+    if _FOREIGN.search(text):
+        for m in _WORD.finditer(text):
+            if set(m.group()) <= TWINS.keys():
+                yield m.group()
+
+
 class Rewriter:
-    """Rewrites one text into its consistent form."""
+    """Rewrites one text into its consistent form. ``words`` are the words wholly of another alphabet that imitate Latin ones."""
 
-    def __init__(self, mapping: dict[str, str]):
+    def __init__(self, mapping: dict[str, str], words: frozenset[str] = frozenset()):
         twins = {k: v for k, v in mapping.items() if k in TWINS}
         plain = {k: v for k, v in mapping.items() if k not in TWINS}
         self.twins = str.maketrans(twins)
@@ -139,20 +168,19 @@ class Rewriter:
             self.automaton.add_word(k, (len(k), v))
         self.automaton.make_automaton()
         single = "".join(re.escape(k) for k in mapping if len(k) == 1)
-        marks = "̀-ͯ"
-        self.suspect = re.compile(f"[{single}{marks}\U000e0000-\U000e0fff]")
-        self.foreign = re.compile("[Ͱ-֏]")
-        self.word = re.compile(r"[^\W_]+")
+        self.suspect = re.compile(f"[{single}{_ANY_MARK}\U000e0000-\U000e0fff]")
         self.twin_letters = set(twins)
+        self.words = words
 
     def _word(self, m: re.Match) -> str:
         w = m.group()
-        if not self.foreign.search(w):
+        if not _FOREIGN.search(w):
             return w
-        others = [c for c in w if "Ͱ" <= c <= "֏"]
-        if all(c in self.twin_letters for c in others):
-            return w.translate(self.twins)  # mixed with Latin letters or digits, or wholly of twins
-        return w
+        others = [c for c in w if "\u0370" <= c <= "\u058f"]
+        if not all(c in self.twin_letters for c in others):
+            return w
+        mixed = any(not "\u0300" <= c <= "\u058f" or ord(c) in LATIN_MARKS for c in w)
+        return w.translate(self.twins) if mixed or w in self.words else w
 
     def __call__(self, text: str) -> str:
         if not self.suspect.search(text):
@@ -165,8 +193,8 @@ class Rewriter:
                 at = end + 1
             out.append(text[at:])
             new = re.sub("[\U000e0000-\U000e0fff]", "", "".join(out))
-            if self.foreign.search(new):
-                new = self.word.sub(self._word, new)
+            if _FOREIGN.search(new):
+                new = _WORD.sub(self._word, new)
             if new == text:
                 return text
             text = new
@@ -182,6 +210,7 @@ def _classes() -> Classes:
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """('m', class member, n), ('f', word wholly of Latin twins in another alphabet, n), ('l', word of letters that have such twins, n)."""
     members = [m for ms in _classes().members().values() for m in ms if m]
     total = np.zeros(_LAST, dtype=np.int64)
     several = {m: 0 for m in members if len(m) > 1}
@@ -189,6 +218,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for m in several:
         automaton.add_word(m, m)
     automaton.make_automaton()
+    foreign, latin = Counter(), Counter()
     for batch in batches:
         for column in batch.columns:
             texts = [t for t in column.to_pylist() if t]
@@ -198,46 +228,83 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 total += np.bincount(codes[codes < _LAST], minlength=_LAST)
                 for _, m in automaton.iter(joined):
                     several[m] += 1
-    found = [(m, int(total[ord(m)]) if len(m) == 1 else several[m]) for m in members]
-    found = [(m, n) for m, n in found if n]
-    yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["member", "n"])
+                foreign.update(twin_words(joined))
+                latin.update(_LATIN_TWIN.findall(joined))
+    rows = [("m", m, int(total[ord(m)]) if len(m) == 1 else several[m]) for m in members] + [("f", w, n) for w, n in foreign.items()] + [("l", w, n) for w, n in latin.items()]
+    rows = [r for r in rows if r[2]]
+    for at in range(0, max(1, len(rows)), 100_000):
+        part = rows[at : at + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.string()), pa.array([r[1] for r in part], pa.string()), pa.array([r[2] for r in part], pa.int64())], names=["kind", "member", "n"])
+
+
+class Forms(NamedTuple):
+    """The rewriting of a corpus: class member -> representative, and the imitating words, as a set or, where there are too many, as a table (word)."""
 
+    mapping: dict[str, str]
+    words: frozenset[str] | DataFrame
 
-def member_counts(*texts: DataFrame) -> dict[str, int]:
-    """How often each class member occurs in all texts (one-column frames). At most one row for each member of the fixed class table reaches the driver, a few thousand."""
-    parts = [t.toDF("t").mapInArrow(_count_batches, "member string, n long") for t in texts]
+
+def corpus_forms(*texts: DataFrame) -> Forms:
+    """The rewriting of a corpus (one-column frames), told by its frequencies. At most one row for each member of the fixed class table reaches the driver, a few thousand, and the imitating words up to BROADCAST_WORDS."""
+    parts = [t.toDF("t").mapInArrow(_count_batches, "kind string, member string, n long") for t in texts]
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
-    return {r["member"]: r["n"] for r in union.groupBy("member").agg(F.sum("n").alias("n")).collect()}
+    counts = cut(union.groupBy("kind", "member").agg(F.sum("n").alias("n")))
+    mapping = representatives(_classes(), {r["member"]: r["n"] for r in counts.where("kind = 'm'").collect()})
+    twins = "".join(TWINS), "".join(TWINS.values())
+    foreign = counts.where("kind = 'f'").select(F.col("member").alias("word"), F.col("n").alias("foreign_n"), F.translate("member", *twins).alias("latin"))
+    latin = counts.where("kind = 'l'").select(F.col("member").alias("latin"), F.col("n").alias("latin_n"))
+    words = cut(foreign.join(latin, "latin").where("latin_n > foreign_n").select("word"))
+    return Forms(mapping, frozenset(r["word"] for r in words.collect()) if words.count() <= BROADCAST_WORDS else words)
+
 
+def static_mapping() -> dict[str, str]:
+    """The rewriting without frequencies: of several ordinary members the lowest."""
+    return representatives(_classes(), {})
 
-def canonical(texts: DataFrame, mapping: dict[str, str]) -> DataFrame:
-    """(table_name, id, text, changed) from (table_name, id, text): every text in its consistent form. No shuffle."""
+
+def _with_words(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """``texts`` (table_name, id, text) with the imitating words each holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rewrite = Rewriter(mapping)
         for batch in batches:
-            before = batch.column(2).to_pylist()
-            after = [t if t is None else rewrite(t) for t in before]
-            changed = [a is not b and a != b for a, b in zip(after, before)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(after, pa.string()), pa.array(changed, pa.bool_())], names=["table_name", "id", "text", "changed"])
+            got = [(t, i, w) for t, i, text in zip(*(c.to_pylist() for c in batch.columns)) if text for w in set(twin_words(text))]
+            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.string()))], names=["table_name", "id", "word"])
+
+    held = texts.mapInArrow(run, "table_name string, id long, word string").join(words, "word").groupBy("table_name", "id").agg(F.collect_set("word").alias("words"))
+    return texts.join(held, ["table_name", "id"], "left")
+
 
-    return texts.mapInArrow(run, "table_name string, id long, text string, changed boolean")
+def canonical(texts: DataFrame, forms: Forms) -> DataFrame:
+    """(table_name, id, text, changed) from (table_name, id, text): every text in its consistent form. No shuffle, unless the imitating words are too many to broadcast."""
+    mapping, words = forms
+    by_row = not isinstance(words, frozenset)
+    known = frozenset() if by_row else words
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rewrite = Rewriter(mapping, known)
+        for batch in batches:
+            before, after = batch.column(2).to_pylist(), []
+            own = batch.column(3).to_pylist() if by_row else None
+            for k, t in enumerate(before):
+                if own is not None:
+                    rewrite.words = frozenset(own[k] or ())
+                after.append(t if t is None else rewrite(t))
+            changed = [a is not b and a != b for a, b in zip(after, before)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(after, pa.string()), pa.array(changed, pa.bool_())], names=["table_name", "id", "text", "changed"])
 
-def corpus_mapping(*texts: DataFrame) -> dict[str, str]:
-    """The rewriting of a corpus: every class member to the corpus's most frequent one."""
-    return representatives(_classes(), member_counts(*texts))
+    rows = _with_words(texts, words) if by_row else texts
+    return rows.mapInArrow(run, "table_name string, id long, text string, changed boolean")
 
 
-def titles_and_chunks(documents: DataFrame, chunks: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """((table_name, id, text) of documents.title and chunks.text, their mapping)."""
-    mapping = corpus_mapping(documents.select("title"), chunks.select("text"))
+def titles_and_chunks(documents: DataFrame, chunks: DataFrame) -> tuple[DataFrame, Forms]:
+    """((table_name, id, text) of documents.title and chunks.text, their forms)."""
+    forms = corpus_forms(documents.select("title"), chunks.select("text"))
     rows = documents.select(F.lit("documents").alias("table_name"), F.col("doc_id").alias("id"), F.col("title").alias("text")).unionByName(
         chunks.select(F.lit("chunks").alias("table_name"), F.col("id"), F.col("text"))
     )
-    return rows, mapping
+    return rows, forms
 
 
 def found(documents: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -348,7 +348,8 @@ def candidates(sigs: DataFrame) -> DataFrame:
 
     placed, limit = place(sigs), SHARD_LIMIT
     parts = lambda n: F.ceil(n * 2 / SHARD_LIMIT).cast("int").alias("p")
-    seen = place(sigs.where(F.pmod(F.xxhash64("id", "t"), F.lit(SAMPLE)) == 0)).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+    key = ["t", "copy" if "copy" in sigs.columns else "id"]  # a filter on the copy key reaches the table below the grouping by it
+    seen = place(sigs.where(F.pmod(F.xxhash64(*key), F.lit(SAMPLE)) == 0)).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
     hot = cut(seen.where(F.col("n") * SAMPLE > SHARD_LIMIT).select("shard", parts(F.col("n") * SAMPLE)))
 
     # few large tasks: the rows of one record that go to the same task lie together and are packed well in the shuffle
@@ -440,7 +441,7 @@ def versions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     sigs = cut(signatures(rows, common_runs(rows)))
     reps = sigs.groupBy("t", "copy").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sig2").alias("sig2"))
     members = cut(sigs.select("t", "id", "copy").join(reps.select("t", "copy", "rep"), ["t", "copy"]).select("t", "id", "rep").distinct())
-    found = candidates(reps.select("t", F.col("rep").alias("id"), "n", "sig", "sig2"))
+    found = candidates(reps.select("t", "copy", F.col("rep").alias("id"), "n", "sig", "sig2"))
     return members, cut(exact_pairs(rows, found))
 
 

@@ -12,8 +12,8 @@ def p1_found(spark, d):
 
 def p1_canonical(spark, d):
     """Every title and chunk text in its consistent form."""
-    rows, mapping = lookalike.titles_and_chunks(table(spark, d, "documents"), table(spark, d, "chunks"))
-    return lookalike.canonical(rows, mapping)
+    rows, forms = lookalike.titles_and_chunks(table(spark, d, "documents"), table(spark, d, "chunks"))
+    return lookalike.canonical(rows, forms)
 
 
 def p2_found(spark, d):

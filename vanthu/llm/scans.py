@@ -4,8 +4,8 @@ Method: words are grouped by a skeleton in which the glyphs that scanners confus
 whose rate in records without signs of scanning is far below its rate in the others is suspect, and a misreading if its
 skeleton, or the word without added signs or gaps, is that of a form well known in clean records; among several forms the
 one that stands most often next to the same word before and after it in clean records is taken. Only the word pairs that some
-misreading asks for are counted, and both sides are joined, so no count is left out and none is broadcast. Lines with digits and capitalised words masked give shapes; shapes
-that stand right after a word divided at a line end, or at a page mark inside a sentence, are running headers. Lines then
+misreading asks for are counted, and both sides are joined, so no count is left out and none is broadcast. Lines with
+digits and capitalised words masked give shapes; shapes that stand right after a word divided at a line end, or at a page mark inside a sentence, are running headers. Lines then
 flow into paragraphs, decided by a SQL window over consecutive lines.
 
 Characters are first brought to one form by the rewriting of problem 1, so look-alike letters are not misreadings.
@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -26,11 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from vanthu.llm.lookalike import Rewriter, corpus_mapping
+from vanthu.llm.lookalike import Rewriter, static_mapping
 from vanthu.llm.neardup import BLOOM_BITS, _bloom
-from vanthu.runtime import cut
+from vanthu.runtime import cut, stored
 
-#: A word is well known from this share of the words of clean records, and three occurrences: at most 10^6 words.
+#: A word is well known from this share of the words of clean records, and three occurrences: at most 10^6 words. A share,
+#: not a count, so that the same text is judged alike in a collection of any size.
 KNOWN_SHARE, KNOWN_LEAST = 1e-6, 3
 #: ... and if its rate in clean records is at least this part of its rate in the others.
 CLEAN_PART = 0.3
@@ -131,9 +133,19 @@ def scanned(text: str, lines: list[tuple[str, str]]) -> bool:
     return bool(_INNER_SIGN.search(text)) or any(k == "page_number" for _, k in lines) or divided(lines)
 
 
-def _gather(mapping: dict[str, str]):
+def _rewriter() -> Rewriter:
+    """The rewriting of problem 1 by its fixed classes. Which member stands for a class does not matter here, so nothing is counted for it."""
+    if not _KEPT_REWRITER:
+        _KEPT_REWRITER.append(Rewriter(static_mapping()))
+    return _KEPT_REWRITER[0]
+
+
+_KEPT_REWRITER: list[Rewriter] = []
+
+
+def _gather():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rewrite = Rewriter(mapping)
+        rewrite = _rewriter()
         clean, dirty, shapes, strong = Counter(), Counter(), Counter(), Counter()
         for batch in batches:
             for text in batch.column(2).to_pylist():
@@ -236,16 +248,28 @@ class _States(dict):
         return got
 
 
-def learn(rows: DataFrame, mapping: dict[str, str]) -> Lexicon:
-    """The lexicon of all records (table_name, id, text). Known words and header shapes are bounded by their share."""
-    stats = cut(rows.mapInArrow(_gather(mapping), "kind string, key string, n long, m long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
+_KEPT_LEXICON: dict[str, Lexicon] = {}
+
+
+def _lexicon(shared) -> Lexicon:
+    """The lexicon of a broadcast (words, shapes, name), built once in each worker."""
+    words, shapes, name = shared.value
+    if name not in _KEPT_LEXICON:
+        _KEPT_LEXICON.clear()
+        _KEPT_LEXICON[name] = Lexicon(words, shapes)
+    return _KEPT_LEXICON[name]
+
+
+def learn(rows: DataFrame):
+    """The broadcast lexicon of all records (table_name, id, text). Known words and header shapes are bounded by their share."""
+    stats = cut(rows.mapInArrow(_gather(), "kind string, key string, n long, m long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
     words = stats.where("kind = 'w'")
     n, m = words.agg(F.sum("n"), F.sum("m")).first()
     n, m = n or 0, m or 0
     rate = F.col("n") * F.lit(float(m)) >= F.col("m") * F.lit(CLEAN_PART * n)
     known = words.where((F.col("n") >= max(KNOWN_LEAST, KNOWN_SHARE * n)) & rate & F.col("key").rlike(r"^\p{L}+$")).select("key", "n").collect()
     shapes = stats.where((F.col("kind") == "s") & (F.col("m") >= 2) & (F.col("m") >= HEADER_SHARE * F.col("n")) & (F.col("n") >= KNOWN_SHARE * n)).select("key").collect()
-    return Lexicon({r["key"]: r["n"] for r in known}, {r["key"] for r in shapes})
+    return rows.sparkSession.sparkContext.broadcast(({r["key"]: r["n"] for r in known}, {r["key"] for r in shapes}, uuid.uuid4().hex))
 
 
 def noises(text: str, lexicon: Lexicon) -> list[str]:
@@ -329,11 +353,17 @@ def neighbours(lines: list[str]) -> list[list[tuple[str | None, str, str | None]
     return out
 
 
-def _asks(mapping: dict[str, str], shared):
-    """(table_name, id, line, pos, rank, form, token, before, after): every form of every misread word that has several; before and after are word pairs."""
+_LINE = "table_name string, id long, version long, line int, s string, asks array<struct<pos:int,before:string,after:string,forms:array<struct<form:string,token:string>>>>"
+_FORM = pa.struct([("form", pa.string()), ("token", pa.string())])
+_ASK = pa.list_(pa.struct([("pos", pa.int32()), ("before", pa.string()), ("after", pa.string()), ("forms", pa.list_(_FORM))]))
+
+
+def _repaired(shared):
+    """(table_name, id, version, line, s, asks): the repaired lines of every text; asks are the misread words with several
+    forms: their position, the words around them, and their forms, most frequent first. Equal texts have one version."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rewrite, lex = Rewriter(mapping), Lexicon(*shared.value)
+        rewrite, lex = _rewriter(), _lexicon(shared)
         for batch in batches:
             out = []
             for t, i, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -341,24 +371,27 @@ def _asks(mapping: dict[str, str], shared):
                     continue
                 several: list = []
                 fixed = repair_words(_kept(rewrite(text), lex), lex, several)
+                asks: dict[int, list] = defaultdict(list)
                 if several:
                     near = neighbours(fixed)
                     for line, pos, read in several:
                         left, _, right = near[line][pos]
-                        out += [(t, i, line, pos, k, form, token, f"{left} {form}" if left else None, f"{form} {right}" if right else None) for k, (form, token) in enumerate(read)]
-            cols = list(zip(*out)) if out else [[]] * 9
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.string()] * 4))], names=["table_name", "id", "line", "pos", "rank", "form", "token", "before", "after"])
+                        asks[line].append({"pos": pos, "before": left, "after": right, "forms": [{"form": f, "token": token} for f, token in read]})
+                b = text.encode("utf-8", "surrogatepass")
+                version = zlib.crc32(b) << 31 ^ zlib.adler32(b)
+                out += [(t, i, version, k, s, asks.get(k)) for k, s in enumerate(fixed)]
+            cols = list(zip(*out)) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), _ASK))], names=["table_name", "id", "version", "line", "s", "asks"])
 
     return run
 
 
-def _pairs(mapping: dict[str, str], shared, table):
+def _pairs(shared, table):
     """(pair, m): counts of the adjacent words of clean records, of all pairs in a bit table and few others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rewrite, bits, held = Rewriter(mapping), table.value, Counter()
-        known = Lexicon(*shared.value)
-        forms = {w for ws in known.by_skeleton.values() if len(ws) > 1 for w in ws}
+        rewrite, bits, held = _rewriter(), table.value, Counter()
+        forms = {w for ws in _lexicon(shared).by_skeleton.values() if len(ws) > 1 for w in ws}
 
         def out() -> pa.RecordBatch:
             rows = []
@@ -389,20 +422,22 @@ def _pairs(mapping: dict[str, str], shared, table):
     return run
 
 
-def choices(rows: DataFrame, mapping: dict[str, str], shared) -> DataFrame:
-    """(table_name, id, line, pos, token): of the misread words with several forms, the one its neighbours support.
+def choices(rows: DataFrame, lines: DataFrame, shared) -> DataFrame:
+    """(table_name, id, version, line, pos, token): of the misread words with several forms, the one its neighbours support.
 
     The support of a form is the product of its pair counts with the word before and the word after, each plus one; ties go to
     the more frequent, then the lower form. A bit table of fixed size keeps the pairs that no word asks for out of the shuffle.
     """
-    asks = cut(rows.mapInArrow(_asks(mapping, shared), "table_name string, id long, line int, pos int, rank int, form string, token string, before string, after string"))
+    at = ["table_name", "id", "version", "line"]
+    asks = lines.where("asks is not null").select(*at, F.explode("asks").alias("a")).select(*at, "a.pos", "a.before", "a.after", F.posexplode("a.forms").alias("rank", "f"))
+    asks = asks.select(*at, "pos", "rank", "f.token", F.concat("before", F.lit(" "), "f.form").alias("before"), F.concat("f.form", F.lit(" "), "after").alias("after"))
     asked = asks.select(F.explode(F.array("before", "after")).alias("pair")).where("pair is not null")
     table = rows.sparkSession.sparkContext.broadcast(_bloom(asked.select(F.pmod(F.crc32(F.encode("pair", "UTF-8")), F.lit(BLOOM_BITS)).alias("h"))))
-    counts = cut(rows.mapInArrow(_pairs(mapping, shared, table), "pair string, m long").groupBy("pair").agg(F.sum("m").alias("m")))
+    counts = cut(rows.mapInArrow(_pairs(shared, table), "pair string, m long").groupBy("pair").agg(F.sum("m").alias("m")))
     side = lambda name: counts.select(F.col("pair").alias(name), F.col("m").alias(f"n_{name}"))
     scored = asks.join(side("before"), "before", "left").join(side("after"), "after", "left")
     support = (F.coalesce("n_before", F.lit(0)) + 1).cast("double") * (F.coalesce("n_after", F.lit(0)) + 1)
-    return scored.groupBy("table_name", "id", "line", "pos").agg(F.min_by("token", F.struct(-support, "rank")).alias("token"))
+    return scored.groupBy(*at, "pos").agg(F.min_by("token", F.struct(-support, "rank")).alias("token"))
 
 
 def texts_of(documents: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -412,19 +447,13 @@ def texts_of(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
-def _prepared(documents: DataFrame, chunks: DataFrame) -> tuple[DataFrame, dict[str, str], Lexicon]:
-    rows = texts_of(documents, chunks)
-    mapping = corpus_mapping(rows.select("text"))
-    return rows, mapping, learn(rows, mapping)
-
-
 def found(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """(table_name, id, noise): one row for each kind of noise in a text."""
-    rows, mapping, lexicon = _prepared(documents, chunks)
-    shared = documents.sparkSession.sparkContext.broadcast((lexicon.words, lexicon.shapes))
+    rows = texts_of(documents, chunks)
+    shared = learn(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rewrite, lex = Rewriter(mapping), Lexicon(*shared.value)
+        rewrite, lex = _rewriter(), _lexicon(shared)
         for batch in batches:
             out = [(t, i, kind) for t, i, text in zip(*(c.to_pylist() for c in batch.columns)) if text for kind in noises(rewrite(text), lex)]
             cols = list(zip(*out)) if out else [[], [], []]
@@ -443,32 +472,22 @@ def _kept(text: str, lexicon: Lexicon) -> list[str]:
 def paragraphs(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """(table_name, id, paragraph, text): continuous paragraphs of every text, in order.
 
-    Lines are repaired where they are, words with several forms by ``choices``; a window over the lines of a text then starts a new paragraph where a line begins an
-    item, follows a blank line, or follows a finished line and begins with a capital.
+    Lines are repaired where they are and written once, words with several forms chosen by ``choices``; a window over the
+    lines of a text then drops those delivered again (of different texts under one id one is kept) and starts a new
+    paragraph where a line begins an item, follows a blank line, or follows a finished line and begins with a capital.
     """
-    rows, mapping, lexicon = _prepared(documents, chunks)
-    shared = documents.sparkSession.sparkContext.broadcast((lexicon.words, lexicon.shapes))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rewrite, lex = Rewriter(mapping), Lexicon(*shared.value)
-        for batch in batches:
-            out = []
-            for t, i, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if not text:
-                    continue
-                out += [(t, i, k, s) for k, s in enumerate(repair_words(_kept(rewrite(text), lex), lex))]
-            cols = list(zip(*out)) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string())], names=["table_name", "id", "line", "s"])
-
-    rows = rows.dropDuplicates(["table_name", "id"])
-    lines = rows.mapInArrow(run, "table_name string, id long, line int, s string")
+    rows = texts_of(documents, chunks)
+    shared = learn(rows)
+    lines = stored(rows.mapInArrow(_repaired(shared), _LINE), "lines")
     at = lambda line, pos: F.shiftleft(line.cast("long"), 32) + pos
-    fixes = choices(rows, mapping, shared).groupBy("table_name", "id").agg(F.map_from_entries(F.collect_list(F.struct(at(F.col("line"), F.col("pos")).alias("k"), F.col("token").alias("v")))).alias("fixes"))
+    key = ["table_name", "id", "version"]
+    fixes = choices(rows, lines, shared).groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct(at(F.col("line"), F.col("pos")).alias("k"), F.col("token").alias("v")))).alias("fixes"))
     chosen = F.array_join(F.transform(F.split("s", " "), lambda x, k: F.coalesce(F.try_element_at("fixes", at(F.col("line"), k)), x)), " ")
-    lines = lines.join(fixes, ["table_name", "id"], "left").select("table_name", "id", "line", F.when(F.col("fixes").isNull(), F.col("s")).otherwise(chosen).alias("s"))
-    by = W.partitionBy("table_name", "id").orderBy("line")
+    lines = lines.select(*key, "line", "s").join(fixes, key, "left").select(*key, "line", F.when(F.col("fixes").isNull(), F.col("s")).otherwise(chosen).alias("s"))
+    by = W.partitionBy("table_name", "id").orderBy("version", "line")
+    once = lines.withColumn("again", F.lag("line").over(by)).withColumn("kept", F.first("version").over(by)).where("version = kept and (again is null or again <> line)")
     before = F.lag("s").over(by)
     item = F.col("s").rlike(r"^(#|\||(Điều|Dieu|Article)\s+\d|\d{1,3}\.\s|[a-zđ]\)\s|- |Căn cứ|Theo đề nghị)")
     starts = before.isNull() | (before == "") | item | before.rlike(r"^#|[.;:!?|/]$") & F.col("s").rlike(r"^[^\p{Ll}]") | before.rlike(r"^\P{Ll}+$")
-    marked = lines.withColumn("start", starts.cast("int")).withColumn("paragraph", F.sum("start").over(by)).where("s <> ''")
+    marked = once.withColumn("start", starts.cast("int")).withColumn("paragraph", F.sum("start").over(by)).where("s <> ''")
     return marked.groupBy("table_name", "id", "paragraph").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "s"))), lambda x: x["s"]), " ").alias("text"))

@@ -5,8 +5,12 @@ further kinds of evidence are combined with it: lengths at which a source's unfi
 n-grams (a final token that, after the word before it, is far more often the beginning of a longer word; final words that
 never end a sentence or line elsewhere). Only texts without a finished ending are looked at: a sentence end, table row or
 bracketed closing note, or a last line of a shape (capitals and numbers masked) in which at least one document in a thousand
-ends, as signatures, distribution lists and closing notes do. What a transfer leaves behind a cut (dots, replacement
-characters, half escapes) is taken off first.
+ends, as signatures, distribution lists and closing notes do; a last line of more than 80 characters is none of these. What
+a transfer leaves behind a cut (dots, replacement characters, half escapes) is taken off first.
+
+The trie is a table, one row for each node and each word below it, so it is as distributed as the vocabulary; only the nodes
+that some text ends in are kept. Whether a word is known is told by its share of all words, so the same text is judged alike
+in a corpus of any size.
 
 Defined cases: null, empty and blank texts are no case; texts of any length are read whole; a null source has its own
 length statistics; repeated rows give one row; ties in counts change nothing; extra columns are ignored.
@@ -46,11 +50,16 @@ def core_of(text: str) -> tuple[str, bool]:
     stripped = text.rstrip()
     if _AND_SO_ON.search(stripped[-12:]):
         return stripped, False
-    m = _RESIDUE.search(text, max(0, len(text) - 80))
-    if not m or not m.group().strip():
+    at, go_on = len(text), True
+    while go_on:  # a residue that reaches back to where the search began may go on before it
+        begin = max(0, at - 80)
+        m = _RESIDUE.search(text, begin, at)
+        go_on = bool(m) and m.start() == begin and begin > 0
+        at = m.start() if m else at
+    left = text[at:]
+    if not left.strip():
         return stripped, False
-    core = text[: m.start()]
-    return core, bool(_STRONG.search(m.group()))
+    return text[:at], bool(_STRONG.search(left))
 
 
 def finished(core: str) -> bool:
@@ -178,9 +187,7 @@ def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             stop, shape = False, None
             if is_open:
                 shape = shape_of(core)
-                words = core[-300:].split()
-                if len(core) > 300:
-                    words = words[1:]
+                words = core.rsplit(None, 3)[-3:]
                 last = words[-1] if words else ""
                 stop = last[-1:] in (",", ";", ":", "(", "/")
                 tail = [word_of(w) for w in words[-3:]]
@@ -196,33 +203,17 @@ def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in _TAIL.split(", ")])
 
 
-class Trie:
-    """A character trie of the known words."""
-
-    def __init__(self, words: dict[str, int]):
-        self.root: dict = {}
-        for w in words:
-            node = self.root
-            for c in w:
-                node = node.setdefault(c, {})
-            node[""] = True
-
-    def extensions(self, prefix: str) -> list[str]:
-        """Known words that properly extend ``prefix``."""
-        node = self.root
-        for c in prefix:
-            if c not in node:
-                return []
-            node = node[c]
-        out, todo = [], [(prefix, node)]
-        while todo:
-            word, node = todo.pop()
-            for c, nxt in node.items():
-                if c:
-                    todo.append((word + c, nxt))
-                elif word != prefix:
-                    out.append(word)
-        return out
+def trie(words: DataFrame, ends: DataFrame) -> DataFrame:
+    """(node, word): of the vocabulary trie of ``words`` (word) the nodes in ``ends`` (node), with the words that properly extend them."""
+    nodes = words.where(F.length("word") > 1).select("word", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda k: F.substring("word", F.lit(1), k))).alias("node"))
+    return nodes.join(ends, "node")
+
+
+def _gram_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(w1, w2, gram) of (w1, w2, word): the key of w1 and word."""
+    for batch in batches:
+        grams = [gram_key([a, w]) for a, w in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(grams, pa.int64())], names=["w1", "w2", "gram"])
 
 
 def _piles(tails: DataFrame) -> DataFrame:
@@ -244,47 +235,23 @@ def _piles(tails: DataFrame) -> DataFrame:
 
 def truncated(documents: DataFrame) -> DataFrame:
     """(doc_id, source, evidence) of the texts that were cut."""
-    spark = documents.sparkSession
     docs = documents.select("doc_id", "source", "text")
     stats = cut(docs.select("text").mapInArrow(_gather, "word string, gram long, n long, ends long").groupBy("word", "gram").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")).where("word is null or n >= 3"))
     tails = cut(docs.mapInArrow(_tails, _TAIL))
     least = max(3, CLOSING_SHARE * tails.count())
     closing = tails.where("open and not strong and shape is not null").groupBy("shape").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least).select("shape")
     tails = cut(tails.where("open").join(F.broadcast(closing), "shape", "left_anti"))
-    words = stats.where("word is not null")
+    words = stats.where("word is not null").select("word", "n")
     total = words.agg(F.sum("n")).first()[0] or 0
-    known = {r["word"]: r["n"] for r in words.where(F.col("n") >= max(3, MIN_SHARE * total)).select("word", "n").collect()}
-    shared = spark.sparkContext.broadcast(known)
-    opened = tails
-
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(shared.value)
-        kept: dict[str, list[str]] = {}
-        for batch in batches:
-            ids, grams, states = [], [], []
-            for doc_id, w1, w2 in zip(*(c.to_pylist() for c in batch.columns)):
-                if not w2 or not w2.isalpha():
-                    continue
-                if w2 not in kept:
-                    kept[w2] = trie.extensions(w2)
-                longer = kept[w2]
-                unknown = bool(longer) and w2 not in shared.value
-                ids.append(doc_id)
-                grams.append(None)
-                states.append(unknown)
-                if w1 and not unknown:
-                    for w in longer:
-                        ids.append(doc_id)
-                        grams.append(gram_key([w1, w]))
-                        states.append(False)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(grams, pa.int64()), pa.array(states, pa.bool_())], names=["doc_id", "gram", "unknown"])
-
-    ext = cut(opened.select("doc_id", "w1", "w2").mapInArrow(extend, "doc_id long, gram long, unknown boolean"))
+    known = words.where(F.col("n") >= max(3, MIN_SHARE * total)).select("word")
     grams = stats.where("word is null").select("gram", "n", "ends")
-    longer = ext.where("gram is not null").join(grams, "gram").groupBy("doc_id").agg(F.sum("n").alias("longer"))
-    unknown = ext.where("unknown").select("doc_id", F.lit(True).alias("unknown")).distinct()
+    pairs = tails.where(F.col("w2").rlike(r"^[\p{L}]+$")).select("w1", "w2").distinct()
+    below = cut(trie(known, pairs.select(F.col("w2").alias("node")).distinct()))
+    unknown = below.select(F.col("node").alias("w2")).distinct().join(known, F.col("w2") == F.col("word"), "left_anti").select("w2", F.lit(True).alias("unknown"))
+    asked = pairs.where("w1 is not null").join(unknown, "w2", "left_anti").join(below.withColumnRenamed("node", "w2"), "w2").select("w1", "w2", "word")
+    longer = asked.mapInArrow(_gram_of, "w1 string, w2 string, gram long").join(grams, "gram").groupBy("w1", "w2").agg(F.sum("n").alias("longer"))
     two, three = (grams.select(F.col("gram").alias(f"g{i}"), F.col("n").alias(f"n{i}"), F.col("ends").alias(f"e{i}")) for i in (2, 3))
-    rows = opened.join(two, "g2", "left").join(three, "g3", "left").join(unknown, "doc_id", "left").join(longer, "doc_id", "left").join(_piles(tails).withColumn("pile", F.lit(True)), "doc_id", "left")
+    rows = tails.join(two, "g2", "left").join(three, "g3", "left").join(unknown, "w2", "left").join(longer, ["w1", "w2"], "left").join(_piles(tails).withColumn("pile", F.lit(True)), "doc_id", "left")
     n2, e2, n3, e3 = (F.coalesce(F.col(c), F.lit(0)) for c in ("n2", "e2", "n3", "e3"))
     goes_on = F.when(n3 >= SEEN, e3 < END_SHARE * n3).when(n2 >= SEEN, e2 < END_SHARE * n2).otherwise(False)
     fragment = (F.coalesce(F.col("longer"), F.lit(0)) >= 3) & (F.col("longer") > 5 * n2) & (e2 <= F.col("longer") / 20)
