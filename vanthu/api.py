@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vanthu.functions import text as T
 from vanthu.operators import chat, docgen, guard, ingest, rag, relations, search, wiki
-from vanthu.runtime import table
+from vanthu.runtime import once, table
 from vanthu.sources import files
 
 

@@ -68,17 +68,6 @@ def fold_py(s: str) -> str:
     return " ".join("".join(c if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co" else " " for c in s).split())
 
 
-def tokens_in(norm: Column) -> Column:
-    """The number of tokens of an index form."""
-    return F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit(""))) - 1
-
-
-def occurrences(norm: Column, phrase: str) -> Column:
-    """How often a phrase whose last token is a prefix begins in an index form."""
-    at = " " + phrase
-    return ((F.length(norm) - F.length(F.replace(norm, F.lit(at), F.lit("")))) / len(at)).cast("int")
-
-
 def query_phrases(query: str) -> list[str]:
     """The index forms of a query's words (letters, digits, slash, dash); words without a token vanish."""
     import re

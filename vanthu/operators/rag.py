@@ -5,24 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from vanthu.functions import dims, text as T
-from vanthu.operators.search import CHUNK_COLUMNS, bm25, cosine
+from vanthu.operators.search import CHUNK_COLUMNS, TextIndex, bm25, build_index, cosine
+from vanthu.runtime import cut
 
 PREVIEW = 300
 
 
-def retrieve(chunks: DataFrame, chunk_vectors: DataFrame, question: str, vector: list[float], k: int = dims.RETRIEVE_K) -> DataFrame:
+def retrieve(chunks: DataFrame, chunk_vectors: DataFrame, question: str, vector: list[float], k: int = dims.RETRIEVE_K, index: TextIndex | None = None) -> DataFrame:
     """The best ``k`` chunks of both legs on one raw scale, first of each (document, article, clause); nulls count as equal.
 
-    The vector leg comes first and holds only the preview of a text. (chunk_id, document_id, content, dieu, khoan, score, source)
+    The vector leg comes first and holds only the preview of a text. Both legs are cut to ``k`` ids before any text is
+    read. (chunk_id, document_id, content, dieu, khoan, score, source)
     """
     near = chunk_vectors.select("chunk_id", F.round(cosine(F.col("embedding"), vector), 6).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(k)
-    unique = chunks.dropDuplicates(["id"])
-    v = unique.join(near, unique["id"] == near["chunk_id"]).select("chunk_id", "document_id", F.substring("text", 1, PREVIEW).alias("content"), "dieu", "khoan", "score", F.lit("vector").alias("source"))
-    hits = bm25(unique, "id", CHUNK_COLUMNS, question).orderBy("score", "id").limit(k).withColumnRenamed("id", "chunk_id")
-    b = unique.join(hits, unique["id"] == hits["chunk_id"]).select("chunk_id", "document_id", F.col("text").alias("content"), "dieu", "khoan", F.round(F.abs("score"), 6).alias("score"), F.lit("bm25").alias("source"))
-    both = v.unionByName(b)
+    hits = bm25(index or build_index(chunks, "id", CHUNK_COLUMNS), question).orderBy("score", "id").limit(k).select(F.col("id").alias("chunk_id"), F.round(F.abs("score"), 6).alias("score"))
+    legs = cut(near.withColumn("source", F.lit("vector")).unionByName(hits.withColumn("source", F.lit("bm25"))))
+    shown = chunks.where(F.col("id").isin(sorted({r[0] for r in legs.select("chunk_id").collect()}))).select(F.col("id").alias("chunk_id"), "document_id", "text", "dieu", "khoan").dropDuplicates(["chunk_id"])
+    content = F.when(F.col("source") == "vector", F.substring("text", 1, PREVIEW)).otherwise(F.col("text")).alias("content")
+    both = shown.join(F.broadcast(legs), "chunk_id").select("chunk_id", "document_id", content, "dieu", "khoan", "score", "source")
     first = W.partitionBy("document_id", "dieu", "khoan").orderBy(F.desc("source"), F.desc("score"), "chunk_id")
-    return both.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r").orderBy(F.desc("score"), "chunk_id").limit(k)
+    return cut(both.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r").orderBy(F.desc("score"), "chunk_id").limit(k))
 
 
 def enrich(rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -92,7 +94,7 @@ def fallback_answer(rows: DataFrame) -> DataFrame:
     return body.select(F.concat(F.lit("**Các quy định liên quan tìm được:**\n\n"), F.col("b"), F.lit("\n\n*⚠️ AI không khả dụng. Vui lòng cấu hình API key.*")).alias("answer"))
 
 
-def chain(chunks, chunk_vectors, docs, relations, question: str, vector: list[float]) -> DataFrame:
+def chain(chunks, chunk_vectors, docs, relations, question: str, vector: list[float], index: TextIndex | None = None) -> DataFrame:
     """Retrieve, enrich, rerank, expand and tag for one question."""
-    ranked = rerank(enrich(retrieve(chunks, chunk_vectors, question, vector), docs))
+    ranked = rerank(enrich(retrieve(chunks, chunk_vectors, question, vector, index=index), docs))
     return tag_rows(expand(ranked, relations, chunks, docs))

@@ -1,39 +1,90 @@
 """Full-text search, vector search and their fusion.
 
-A text index row is (id, D, f1..fk): the row's tokens and the phrase counts of one query; one scan of the text gives it,
-without a shuffle. ``postings`` builds the reusable inverted index for corpora that are queried often.
+The text index of a table is kept in the shared folder: one row (token, id, col, pos, d) for each token of each column of a
+row, with its positions and the row's number of tokens, sorted by token and id in ranges. A query reads only the pages of its
+own tokens; the texts are neither read nor folded again, and those that are shown are fetched by the ids of one page.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from vanthu.functions import dims, text as T
-from vanthu.runtime import cut
+from vanthu.runtime import cut, scratch, stored
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 DOC_COLUMNS = ["doc_number", "title", "content_markdown", "issuing_authority"]
 CHUNK_COLUMNS = ["text"]
+_POSTINGS = "token string, id long, col short, pos array<int>, d int"
+
+
+class TextIndex(NamedTuple):
+    """``postings`` (token, id, col, pos, d), the number of rows, and their mean number of tokens."""
+
+    postings: DataFrame
+    rows: int
+    mean: float
+
+
+def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The postings of (id, index form of each column), and for each row one with an empty token, which holds its length."""
+    for batch in batches:
+        ids = batch.column(0).to_pylist()
+        columns = [[t.split() for t in batch.column(k).to_pylist()] for k in range(1, batch.num_columns)]
+        lengths = [sum(len(c[r]) for c in columns) for r in range(len(ids))]
+        tokens, at, cols, positions, d = [""] * len(ids), list(ids), [-1] * len(ids), [[] for _ in ids], list(lengths)
+        for k, column in enumerate(columns):
+            for i, row, length in zip(ids, column, lengths):
+                found: dict[str, list[int]] = {}
+                for p, token in enumerate(row):
+                    found.setdefault(token, []).append(p)
+                tokens += found
+                positions += found.values()
+                n = len(found)
+                at += [i] * n
+                cols += [k] * n
+                d += [length] * n
+        kinds = (pa.string(), pa.int64(), pa.int16(), pa.list_(pa.int32()), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip((tokens, at, cols, positions, d), kinds)], names=["token", "id", "col", "pos", "d"])
 
 
 def postings(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """The inverted index (id, col, token, tf), written partitioned by the token's first letter by callers that keep it."""
-    parts = [df.select(F.col(id_col).alias("id"), F.lit(c).alias("col"), F.explode(F.filter(F.split(T.folded(F.col(c)), " "), lambda w: w != "")).alias("token")) for c in columns]
-    return reduce(DataFrame.unionByName, parts).groupBy("id", "col", "token").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def index_rows(df: DataFrame, id_col: str, columns: list[str], phrases: list[str]) -> DataFrame:
-    """(id, D, f0..): D counts the tokens of all columns, fi the beginnings of phrase i in any of them."""
-    norm = df.select(F.col(id_col).alias("id"), *[T.folded(F.col(c)).alias(c) for c in columns])
-    total = reduce(lambda a, b: a + b, [T.tokens_in(F.col(c)) for c in columns])
-    counts = [reduce(lambda a, b: a + b, [T.occurrences(F.col(c), p) for c in columns]).alias(f"f{i}") for i, p in enumerate(phrases)]
-    return norm.select("id", total.alias("D"), *counts)
-
-
-def bm25(df: DataFrame, id_col: str, columns: list[str], query: str) -> DataFrame:
+    """(token, id, col, pos, d) of all rows with an id; no shuffle. Rows delivered twice are here twice."""
+    forms = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), *[T.folded(F.col(c)).alias(f"c{k}") for k, c in enumerate(columns)])
+    return forms.mapInArrow(_tokenised, _POSTINGS)
+
+
+def build_index(df: DataFrame, id_col: str, columns: list[str]) -> TextIndex:
+    """The index of ``columns``, written to the shared folder. A token of every row lies in as many files as it needs."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, "index")
+    stored(postings(df, id_col, columns), "postings").repartitionByRange("token", "id").sortWithinPartitions("token", "id").write.option("parquet.block.size", 16 << 20).parquet(path)
+    kept = spark.read.schema(_POSTINGS).parquet(path)
+    n, mean = kept.where("token = ''").groupBy("id").agg(F.first("d").alias("d")).agg(F.count(F.lit(1)), F.avg("d")).first()
+    return TextIndex(kept, n, mean or 1.0)
+
+
+def phrase_counts(index: TextIndex, phrase: str) -> DataFrame:
+    """(id, f, d): how often a phrase, whose last token is a prefix, begins in any column. Only its tokens are read."""
+    *exact, last = phrase.split(" ")
+    of = lambda cond: index.postings.where(cond).dropDuplicates(["token", "id", "col"])
+    found = of(F.col("token").startswith(last))
+    if not exact:
+        return found.groupBy("id").agg(F.sum(F.size("pos")).alias("f"), F.first("d").alias("d"))
+    shifted = lambda c, k: F.transform(c, lambda x: x - k)
+    starts = found.groupBy("id", "col").agg(shifted(F.flatten(F.collect_list("pos")), len(exact)).alias("at"), F.first("d").alias("d"))
+    for k, token in enumerate(exact):
+        there = of(F.col("token") == token).select("id", "col", shifted(F.col("pos"), k).alias("here"))
+        starts = starts.join(there, ["id", "col"]).select("id", "col", "d", F.array_intersect("at", "here").alias("at"))
+    return starts.groupBy("id").agg(F.sum(F.size("at")).alias("f"), F.first("d").alias("d")).where("f > 0")
+
+
+def bm25(index: TextIndex, query: str) -> DataFrame:
     """(id, score) of the rows that hold every phrase of ``query``; more negative is better, as the score is ordered ascending.
 
     idf is clamped to a small positive value, so a phrase in more than half of the rows hardly counts. A query without a
@@ -41,15 +92,16 @@ def bm25(df: DataFrame, id_col: str, columns: list[str], query: str) -> DataFram
     """
     phrases = T.query_phrases(query)
     if not phrases:
-        return df.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).where(F.lit(False))
-    rows = cut(index_rows(df, id_col, columns, phrases))
-    fs = [f"f{i}" for i in range(len(phrases))]
-    stat = rows.agg(F.count(F.lit(1)).alias("N"), F.avg("D").alias("avg"), *[F.count_if(F.col(f) > 0).alias(f) for f in fs]).first()
+        return index.postings.where("false").select("id", F.lit(0.0).alias("score"))
+    each = cut(reduce(DataFrame.unionByName, [phrase_counts(index, p).withColumn("i", F.lit(i)) for i, p in enumerate(phrases)]))
+    holding = {r["i"]: r["n"] for r in each.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}
+    every = each.groupBy("id").agg(*[F.sum(F.when(F.col("i") == i, F.col("f"))).alias(f"f{i}") for i in range(len(phrases))], F.first("d").alias("D"))
     score: Column = F.lit(0.0)
-    for f in fs:
-        idf = max(LEAST_IDF, math.log((stat["N"] - stat[f] + 0.5) / (stat[f] + 0.5)))
-        score = score - F.lit(idf) * (F.col(f) * (K1 + 1)) / (F.col(f) + K1 * (1 - B + B * F.col("D") / F.lit(stat["avg"] or 1.0)))
-    return rows.where(reduce(lambda a, b: a & b, [F.col(f) > 0 for f in fs])).select("id", score.alias("score"))
+    for i in range(len(phrases)):
+        f, n = F.col(f"f{i}"), holding.get(i, 0)
+        idf = max(LEAST_IDF, math.log((index.rows - n + 0.5) / (n + 0.5)))
+        score = score - F.lit(idf) * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("D") / F.lit(index.mean)))
+    return every.where(reduce(lambda a, b: a & b, [F.col(f"f{i}").isNotNull() for i in range(len(phrases))])).select("id", score.alias("score"))
 
 
 def with_filters(docs: DataFrame, doc_type=None, authority=None, year=None, status=None) -> DataFrame:
@@ -74,32 +126,34 @@ def facets(docs: DataFrame, authorities: int = 10) -> DataFrame:
     return counted.where("facet <> 'authority'").unionByName(top)
 
 
-def search_documents(docs: DataFrame, query: str, page: int = 1, size: int = 20, strict: bool = False, **filters) -> DataFrame:
+def search_documents(docs: DataFrame, query: str, page: int = 1, size: int = 20, strict: bool = False, index: TextIndex | None = None, **filters) -> DataFrame:
     """One page of full-text hits: cut by the raw score, then ordered by the boosted one inside the page.
 
-    ``strict`` boosts before the page is cut. Without a query: a list by date text, newest first.
+    ``strict`` boosts before the page is cut. Without a query: a list by date text, newest first. The texts of the page's
+    rows alone are fetched, for their snippets.
     """
     kept = with_filters(docs, **filters)
     cols = ["doc_id", "doc_number", "title", "doc_type", "issuing_date", "effectiveness_status"]
     if not query.strip():
         rows = kept.orderBy(F.desc("issuing_date"), "doc_id").offset((page - 1) * size).limit(size)
         return rows.select(*cols, F.lit(0.0).alias("score"), F.row_number().over(W.orderBy(F.desc("issuing_date"), "doc_id")).alias("rank"))
-    hits = bm25(docs, "doc_id", DOC_COLUMNS, query).withColumnRenamed("id", "doc_id")
-    joined = kept.join(hits, "doc_id").withColumn("boosted", -F.col("score") * dims.status_factor(F.col("effectiveness_status")))
+    hits = bm25(index or build_index(docs, "doc_id", DOC_COLUMNS), query).withColumnRenamed("id", "doc_id")
+    joined = kept.select(*cols).join(hits, "doc_id").withColumn("boosted", -F.col("score") * dims.status_factor(F.col("effectiveness_status")))
     first = F.desc("boosted") if strict else F.asc("score")
-    rows = joined.orderBy(first, "doc_id").offset((page - 1) * size).limit(size)
+    rows = cut(joined.orderBy(first, "doc_id").offset((page - 1) * size).limit(size))
     snippet = T.highlight(F.coalesce("content_markdown", F.lit("")), query).alias("snippet")
-    return rows.select(*cols, F.col("boosted").alias("score"), F.row_number().over(W.orderBy(F.desc("boosted"), "score", "doc_id")).alias("rank"), snippet)
+    shown = docs.where(F.col("doc_id").isin([r[0] for r in rows.select("doc_id").collect()])).select("doc_id", snippet)
+    return rows.join(F.broadcast(shown), "doc_id").select(*cols, F.col("boosted").alias("score"), F.row_number().over(W.orderBy(F.desc("boosted"), "score", "doc_id")).alias("rank"), "snippet")
 
 
-def count_matches(docs: DataFrame, query: str, **filters) -> DataFrame:
-    hits = bm25(docs, "doc_id", DOC_COLUMNS, query)
+def count_matches(docs: DataFrame, query: str, index: TextIndex | None = None, **filters) -> DataFrame:
+    hits = bm25(index or build_index(docs, "doc_id", DOC_COLUMNS), query)
     return with_filters(docs, **filters).join(hits, F.col("doc_id") == F.col("id"), "left_semi").agg(F.count(F.lit(1)).alias("total"))
 
 
-def fts_leg(docs: DataFrame, query: str, limit: int = dims.LEG_LIMIT, **filters) -> DataFrame:
+def fts_leg(docs: DataFrame, query: str, limit: int = dims.LEG_LIMIT, index: TextIndex | None = None, **filters) -> DataFrame:
     """(doc_id, bm25_rank): the best ``limit`` documents by raw score."""
-    hits = bm25(docs, "doc_id", DOC_COLUMNS, query).withColumnRenamed("id", "doc_id")
+    hits = bm25(index or build_index(docs, "doc_id", DOC_COLUMNS), query).withColumnRenamed("id", "doc_id")
     top = with_filters(docs, **filters).select("doc_id").join(hits, "doc_id").orderBy("score", "doc_id").limit(limit)
     return top.select("doc_id", F.row_number().over(W.orderBy("score", "doc_id")).alias("bm25_rank"))
 
@@ -132,9 +186,9 @@ def fuse(bm25_leg: DataFrame, vec_leg: DataFrame, mode: str) -> DataFrame:
     return both.select("doc_id", "bm25_rank", "vector_rank", (part(wb, "bm25_rank") + part(wv, "vector_rank")).alias("rrf"), F.array_join(names, ",").alias("sources"))
 
 
-def hybrid_search(docs: DataFrame, chunk_vectors: DataFrame, query: str, vector: list[float], mode: str, page: int = 1, size: int = 20, threshold: float = dims.SCORE_THRESHOLD, **filters) -> DataFrame:
+def hybrid_search(docs: DataFrame, chunk_vectors: DataFrame, query: str, vector: list[float], mode: str, page: int = 1, size: int = 20, threshold: float = dims.SCORE_THRESHOLD, index: TextIndex | None = None, **filters) -> DataFrame:
     """One page of fused hits with status, rank and recency boosts. Authority and year filter the text leg only."""
-    text_leg = fts_leg(docs, query, **filters)
+    text_leg = fts_leg(docs, query, index=index, **filters)
     near = with_filters(docs, doc_type=filters.get("doc_type"), status=filters.get("status")).select("doc_id")
     vec_leg = vector_leg(chunk_vectors.join(near, "doc_id", "left_semi"), vector, threshold=threshold)
     fused = fuse(text_leg, vec_leg, mode)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,55 +30,93 @@ def key_points(chunks: DataFrame) -> DataFrame:
     return first.groupBy("document_id").agg(F.slice(F.transform(points, lambda x: x["point"]), 1, 5).alias("key_points"))
 
 
+# Patterns of named authorities, in the order in which they are tried, and of the line below a signature's head.
+AUTHORITIES = [r"(Bộ\s+[\w\s]+?)(?=\s+(?:ban hành|quy định|hướng dẫn|chỉ đạo))", r"(Ủy ban nhân dân\s+[\w\s]+?)(?=\s+(?:ban hành|quyết định))", r"(Thủ tướng Chính phủ)", r"(Chính phủ)"]
+SIGNER = r"(?:KT\.|TM\.|Thay mặt.*?)\n+([A-ZÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚĂĐ][^\n]{5,60})\n"
+
+
 def authorities(content: Column, issuer: Column) -> Column:
     """Up to five authorities: the issuer, then those named in the first 3000 characters, in pattern order."""
     head = F.substring(content, 1, 3000)
-    # Patterns of named authorities.
-    patterns = [
-        r"(?iuU)(Bộ\s+[\w\s]+?(?=\s+(?:ban hành|quy định|hướng dẫn|chỉ đạo)))", r"(?iuU)(Ủy ban nhân dân\s+[\w\s]+?(?=\s+(?:ban hành|quyết định)))",
-        r"(?iuU)(Thủ tướng Chính phủ)", r"(?iuU)(Chính phủ)",
-    ]
-    named = F.flatten(F.array(*[F.transform(F.regexp_extract_all(head, F.lit(p), F.lit(1)), lambda x: F.trim(x)) for p in patterns]))
+    named = F.flatten(F.array(*[F.transform(F.regexp_extract_all(head, F.lit("(?iuU)" + p), F.lit(1)), lambda x: F.trim(x)) for p in AUTHORITIES]))
     own = F.filter(F.array(issuer), lambda x: F.coalesce(x, F.lit("")) != "")
     return F.slice(F.array_distinct(F.concat(own, F.coalesce(named, F.array().cast("array<string>")))), 1, 5)
 
 
+def entities(content: Column, issuer: Column, issued: Column, effective: Column) -> Column:
+    """(authorities, signers, dates (issuance, effective)); a document without an effective date is in effect from its issue."""
+    signer = F.trim(F.regexp_extract(F.coalesce(content, F.lit("")), SIGNER, 1))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    dates = F.struct(text(issued).alias("issuance"), F.coalesce(F.nullif(effective, F.lit("")), text(issued)).alias("effective"))
+    return F.struct(authorities(content, issuer).alias("authorities"), F.when(signer == "", F.array().cast("array<string>")).otherwise(F.array(signer)).alias("signers"), dates.alias("dates"))
+
+
 def summary(issuer: Column, number: Column, date: Column, content: Column) -> Column:
     snippet = F.substring(F.array_join(T.words(F.substring(content, 1, 600)), " "), 1, 400)
     return F.concat(F.coalesce(issuer, F.lit("")), F.lit(" ban hành văn bản số "), F.coalesce(number, F.lit("")), F.lit(" ngày "), F.coalesce(date, F.lit("")), F.lit(". Nội dung: "), snippet, F.lit("..."))
 
 
-def compile_pages(docs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(slug, title, document_id, doc_number, summary, key_points, authorities, markdown), one page for each document.
+QA = "array<struct<question:string,answer:string>>"
+
 
-    A document without content has that of its chunks, one after the other.
+def compile_pages(docs: DataFrame, chunks: DataFrame, today: datetime.date | None = None, told: DataFrame | None = None, model: str = "") -> DataFrame:
+    """One page for each document: slug, title, document_id, doc_number, the document's own columns, summary, key_points,
+    legal_fields, suggested_qa, entities, confidence, created_by_model, created_at, markdown.
+
+    A document without content has that of its chunks, one after the other. ``told`` (document_id, summary, key_points,
+    suggested_qa, legal_fields, confidence) is what a model said of documents; what it left out, or all, is told by rule,
+    without fields and questions and with confidence 0.
     """
     s = lambda c: F.coalesce(F.col(c), F.lit(""))
     bare = docs.where("coalesce(content_markdown, '') = ''").select(F.col("doc_id").alias("document_id")).distinct()
     parts = chunks.select("id", "document_id", "chunk_index", "text").join(bare, "document_id", "left_semi").dropDuplicates(["id"]).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "id", "text"))).alias("cs"))
     joined = parts.select(F.col("document_id").alias("doc_id"), F.array_join(F.transform("cs", lambda c: c["text"]), "\n").alias("joined"))
     docs = docs.join(joined, "doc_id", "left").withColumn("content_markdown", F.coalesce(F.nullif("content_markdown", F.lit("")), "joined", F.lit("")))
-    base = docs.join(key_points(chunks), docs["doc_id"] == F.col("document_id"), "left")
+    base = docs.join(key_points(chunks).withColumnRenamed("document_id", "doc_id"), "doc_id", "left")
+    kinds = {"summary": "string", "key_points": "array<string>", "suggested_qa": QA, "legal_fields": "array<string>", "confidence": "double"}
+    if told is None:
+        base = base.withColumns({f"told_{c}": F.lit(None).cast(kind) for c, kind in kinds.items()})
+    else:
+        base = base.join(told.select(F.col("document_id").alias("doc_id"), *[F.col(c).cast(kind).alias(f"told_{c}") for c, kind in kinds.items()]), "doc_id", "left")
+    none = lambda kind: F.array().cast(kind)
     slug = T.slugify(F.concat(s("doc_number"), F.lit("-"), s("doc_type")))
     page = base.select(
-        F.when(slug == "", F.concat(F.lit("doc-"), docs["doc_id"].cast("string"))).otherwise(slug).alias("slug"), s("title").alias("title"), docs["doc_id"].alias("document_id"), s("doc_number").alias("doc_number"), s("doc_type").alias("doc_type"),
+        F.when(slug == "", F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))).otherwise(slug).alias("slug"), s("title").alias("title"), F.col("doc_id").alias("document_id"), s("doc_number").alias("doc_number"), s("doc_type").alias("doc_type"),
         s("issuing_date").alias("issuing_date"), s("issuing_authority").alias("issuing_authority"), s("effectiveness_status").alias("effectiveness_status"),
-        F.coalesce(F.nullif(F.col("effective_date"), F.lit("")), s("issuing_date")).alias("effective_date"),
-        summary(F.col("issuing_authority"), F.col("doc_number"), F.col("issuing_date"), F.col("content_markdown")).alias("summary"),
-        F.coalesce("key_points", F.array().cast("array<string>")).alias("key_points"), authorities(F.col("content_markdown"), F.col("issuing_authority")).alias("authorities"), F.col("created_at"),
+        F.coalesce(F.nullif("told_summary", F.lit("")), summary(F.col("issuing_authority"), F.col("doc_number"), F.col("issuing_date"), F.col("content_markdown"))).alias("summary"),
+        F.coalesce(F.when(F.size("told_key_points") > 0, F.col("told_key_points")), "key_points", none("array<string>")).alias("key_points"),
+        F.coalesce("told_legal_fields", none("array<string>")).alias("legal_fields"), F.coalesce("told_suggested_qa", none(QA)).alias("suggested_qa"),
+        entities(F.col("content_markdown"), F.col("issuing_authority"), F.col("issuing_date"), F.col("effective_date")).alias("entities"),
+        F.coalesce("told_confidence", F.lit(0.0)).alias("confidence"), F.lit(model).alias("created_by_model"), F.col("created_at"),
     )
-    return page.withColumn("markdown", markdown())
-
-
-def markdown() -> Column:
-    """The page's text: front matter, summary, key points, facts and links."""
-    c = F.col
-    points = F.when(F.size("key_points") > 0, F.concat(F.lit("\n## Điểm chính\n\n"), F.array_join(F.transform("key_points", lambda k: F.concat(F.lit("- "), k)), "\n"), F.lit("\n"))).otherwise("")
-    rows = [("Số hiệu", c("doc_number")), ("Loại văn bản", c("doc_type")), ("Cơ quan ban hành", c("issuing_authority")), ("Ngày ban hành", c("issuing_date")), ("Ngày hiệu lực", c("effective_date")), ("Cơ quan liên quan", F.array_join(F.slice("authorities", 1, 3), ", ")), ("Hiệu lực", c("effectiveness_status"))]
-    facts = F.concat(*[F.concat(F.lit(f"| {k} | "), v, F.lit(" |\n")) for k, v in rows])
-    front = [("title", F.substring("title", 1, 100)), ("doc_number", c("doc_number")), ("doc_type", c("doc_type")), ("issuing_authority", c("issuing_authority")), ("issuance_date", c("issuing_date")), ("effective_date", c("effective_date"))]
-    head = F.concat(F.lit("---\ntype: tom_tat\n"), *[F.concat(F.lit(f'{k}: "'), v, F.lit('"\n')) for k, v in front], F.lit("reviewed: false\n---\n\n# "), F.substring("title", 1, 120), F.lit("\n\n## Tóm tắt\n\n"), c("summary"), F.lit("\n"))
-    return F.concat(head, points, F.lit("\n## Thông tin văn bản\n\n| Thuộc tính | Giá trị |\n|---|---|\n"), facts, F.lit("\n## Liên kết\n\n- _Chưa có liên kết._\n"))
+    return page.withColumn("markdown", markdown(F.lit((today or datetime.date.today()).isoformat())))
+
+
+def markdown(today: Column) -> Column:
+    """The page's text: front matter, head, summary, key points, facts, questions and links."""
+    c, l = F.col, F.lit
+    none = "_chưa xác định_"
+    lines = lambda items, line: F.array_join(F.transform(items, line), "")
+    given = lambda items, head, line: F.when(F.size(items) > 0, F.concat(l(head), lines(items, line))).otherwise("")
+    listed = lambda items, n: F.coalesce(F.nullif(F.array_join(F.slice(items, 1, n), ", "), l("")), l(none))
+    effective = c("entities.dates.effective")
+    field = lambda name, value: F.concat(l(f'{name}: "'), value, l('"\n'))
+    tags = F.when(F.size("legal_fields") > 0, lines("legal_fields", lambda t: F.concat(l('  - "'), t, l('"\n')))).otherwise('  - "pháp-luật"\n')
+    front = F.concat(
+        l("---\n"), field("title", F.substring("title", 1, 100)), l("type: tom_tat\n"), field("doc_number", c("doc_number")), field("doc_type", c("doc_type")),
+        l("sources:\n  - doc_id: "), c("document_id").cast("string"), l('\n    doc_number: "'), c("doc_number"), l('"\n    title: "'), F.substring("title", 1, 80), l('"\ntags:\n'), tags,
+        field("issuing_authority", c("issuing_authority")), field("issuance_date", c("issuing_date")), field("effective_date", effective),
+        l("created: "), today, l("\nupdated: "), today, l("\n"), field("created_by_model", c("created_by_model")), l("reviewed: false\n---\n\n"),
+    )
+    head = F.concat(l("# "), F.substring("title", 1, 120), l("\n\n> **Số hiệu:** "), c("doc_number"), l(" | **Ngày ban hành:** "), c("issuing_date"), l(" | **Cơ quan:** "), c("issuing_authority"), l("\n\n## Tóm tắt\n\n"), c("summary"), l("\n"))
+    points = given("key_points", "\n## Điểm chính\n\n", lambda k: F.concat(l("- "), k, l("\n")))
+    rows = [("Số hiệu", c("doc_number")), ("Loại văn bản", c("doc_type")), ("Cơ quan ban hành", c("issuing_authority")), ("Ngày ban hành", c("issuing_date")), ("Ngày hiệu lực", effective)]
+    rows += [("Người ký", listed("entities.signers", 2)), ("Cơ quan liên quan", listed("entities.authorities", 3)), ("Hiệu lực", c("effectiveness_status"))]
+    facts = F.concat(l("\n## Thông tin văn bản\n\n| Thuộc tính | Giá trị |\n|---|---|\n"), *[F.concat(l(f"| {k} | "), v, l(" |\n")) for k, v in rows])
+    asked = given("suggested_qa", "\n## Câu hỏi thường gặp\n\n", lambda q: F.concat(l("**Q: "), F.coalesce(q["question"], l("")), l("**\n\n> "), F.coalesce(q["answer"], l("")), l("\n\n")))
+    links = F.when(F.size("legal_fields") > 0, lines(F.slice("legal_fields", 1, 3), lambda t: F.concat(l("- Xem thêm: [[linh-vuc/"), T.slugify(t), l("]]\n")))).otherwise("- _Chưa có liên kết._")
+    closing = F.concat(l("\n\n---\n*Trang này được biên dịch tự động bởi hệ thống vào "), today, l(". Vui lòng review trước khi sử dụng.*\n"))
+    return F.concat(front, head, points, facts, asked, l("\n## Liên kết\n\n"), links, closing)
 
 
 def upsert(pages: DataFrame, compiled: DataFrame) -> DataFrame:
@@ -90,9 +129,9 @@ def upsert(pages: DataFrame, compiled: DataFrame) -> DataFrame:
     return both.select("slug", *map(of, columns), F.coalesce("old_reviewed", F.lit(False)).alias("reviewed"))
 
 
-def compile_wiki(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+def compile_wiki(docs: DataFrame, chunks: DataFrame, **more) -> DataFrame:
     """The pages of ``compile_pages`` with ``reviewed``, one for each slug: documents are compiled by id, the first makes the page and the last fills it."""
-    compiled = compile_pages(docs, chunks)
+    compiled = compile_pages(docs, chunks, **more)
     columns = [c for c in compiled.columns if c != "slug"]
     first = compiled.groupBy("slug").agg(F.min_by(F.struct(*columns), "document_id").alias("f")).select("slug", "f.*", F.lit(False).alias("reviewed"))
     return upsert(first, compiled)

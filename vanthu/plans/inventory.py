@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+from functools import reduce
 
 from pyspark.sql import Window as W, functions as F
 
@@ -82,19 +83,21 @@ derived("fn_section_title", "agg_sections", ["doc_number", "title"])
 
 @query(Q._HITS + ", f AS (SELECT nn::BIGINT AS n_docs, round(av, 6) AS avg_tokens, c0 AS df0, c1 AS df1, c2 AS df2, c3 AS df3 FROM hits_s) SELECT * FROM f")
 def agg_bm25_stats(spark, d):
-    rows = search.index_rows(Q.docs(spark, d), "doc_id", search.DOC_COLUMNS, T.query_phrases(Q.TEXT))
-    return rows.agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("D"), 6).alias("avg_tokens"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"df{i}") for i in range(4)])
+    index = Q.doc_index(spark, d)
+    holding = [search.phrase_counts(index, p).agg(F.count(F.lit(1)).alias(f"df{i}")) for i, p in enumerate(T.query_phrases(Q.TEXT))]
+    first = spark.range(1).select(F.lit(index.rows).cast("long").alias("n_docs"), F.round(F.lit(index.mean), 6).alias("avg_tokens"))
+    return reduce(lambda a, b: a.withColumn("k", F.lit(1)).join(b.withColumn("k", F.lit(1)), "k").drop("k"), holding, first)
 
 
 @query(Q._HITS + " SELECT d.doc_id, d.doc_number, round(score, 9) AS score FROM hits JOIN documents d ON d.doc_id = hits.id")
 def join_fts_documents(spark, d):
-    hits = search.bm25(Q.docs(spark, d), "doc_id", search.DOC_COLUMNS, Q.TEXT)
+    hits = search.bm25(Q.doc_index(spark, d), Q.TEXT)
     return Q.docs(spark, d).join(hits, F.col("doc_id") == F.col("id")).select("doc_id", "doc_number", F.round("score", 9).alias("score"))
 
 
 @query(Q._HITS + " SELECT id AS doc_id FROM hits ORDER BY score, id LIMIT 30")
 def srt_bm25(spark, d):
-    return search.bm25(Q.docs(spark, d), "doc_id", search.DOC_COLUMNS, Q.TEXT).orderBy("score", "id").limit(30).select(F.col("id").alias("doc_id"))
+    return search.bm25(Q.doc_index(spark, d), Q.TEXT).orderBy("score", "id").limit(30).select(F.col("id").alias("doc_id"))
 
 
 @query("SELECT e.vec_id, round(" + Q.S.DOT + ", 6) AS score FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE doc_type = 'quyet_dinh' AND effectiveness_status = 'con_hieu_luc' ORDER BY 2 DESC, 1 LIMIT 10")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vanthu.functions import dims, text as T
 from vanthu.operators import chat, docgen, guard, ingest, rag, relations, search, wiki
-from vanthu.plans import sqltext as S
+from vanthu.plans import sqltext as S, wikisql as X
 from vanthu.runtime import cut, ensure_checkpoint_dir, table
 from vanthu.streaming import incremental
 
@@ -259,20 +259,25 @@ def q_suggested_questions(spark, _d):
 
 # ---- wiki
 def _pages(spark, d):
-    return wiki.compile_wiki(docs(spark, d), table(spark, d, "chunks"))
+    return wiki.compile_wiki(docs(spark, d), table(spark, d, "chunks"), today=datetime.date.fromisoformat(X.TODAY))
 
 
-@query()
+_PAGE = ["slug", "document_id", "created_at", "title", "doc_number", "summary", "key_points", "authorities", "signers", "effective", "markdown", "reviewed"]
+
+
+@query(f"WITH {X.PAGES} SELECT {', '.join(_PAGE)} FROM pg")
 def q_compile_wiki(spark, d):
-    return _pages(spark, d)
+    """The page of every slug as compiled on a fixed day."""
+    return _pages(spark, d).select("*", "entities.authorities", "entities.signers", F.col("entities.dates.effective").alias("effective")).select(*_PAGE)
 
 
-@query()
+@query(f"SELECT doc_id, {X.authorities('content_markdown', 'issuing_authority')} AS authorities, CASE WHEN {X.signer('content_markdown')} = '' THEN [] ELSE [{X.signer('content_markdown')}] END AS signers, coalesce(issuing_date, '') AS issuance, coalesce(nullif(effective_date, ''), issuing_date, '') AS effective FROM documents WHERE content_markdown IS NOT NULL")
 def fn_entities_regex(spark, d):
-    return docs(spark, d).where("content_markdown is not null").select("doc_id", wiki.authorities(F.col("content_markdown"), F.col("issuing_authority")).alias("authorities"))
+    e = wiki.entities(*(F.col(c) for c in ("content_markdown", "issuing_authority", "issuing_date", "effective_date")))
+    return docs(spark, d).where("content_markdown is not null").select("doc_id", e.alias("e")).select("doc_id", "e.authorities", "e.signers", "e.dates.*")
 
 
-@query()
+@query(f"WITH {X.KEY_POINTS} SELECT document_id, key_points FROM kp")
 def fn_key_points(spark, d):
     return wiki.key_points(table(spark, d, "chunks"))
 
@@ -284,13 +289,13 @@ def dml_upsert_slug(spark, d):
     return wiki.upsert(page.where("false"), page).select("slug", "document_id")
 
 
-@query()
+@query(f"WITH {X.LINT} SELECT slug, lint_status, broken, expired, orphan FROM ls")
 def q_lint_pages(spark, d):
     """Lint of the compiled pages; q_lint_wiki, whose SQL is over made-up pages, is its fixture."""
     return wiki.lint(cut(_pages(spark, d)), docs(spark, d))
 
 
-@query()
+@query(f"WITH {X.LINT} SELECT count(*) AS wiki_pages, count(*) FILTER (WHERE reviewed) AS reviewed, count(*) FILTER (WHERE NOT reviewed) AS pending_review, count(*) FILTER (WHERE lint_status <> 'ok') AS lint_issues FROM ls")
 def q_pages_status(spark, d):
     """Status of the compiled pages after their lint."""
     pages = cut(_pages(spark, d))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vanthu.functions import dims, text as T
 from vanthu.operators import rag, search
 from vanthu.plans import sqltext as S
-from vanthu.runtime import table
+from vanthu.runtime import once, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -29,6 +29,15 @@ def docs(spark, d):
     return table(spark, d, "documents")
 
 
+def doc_index(spark, d):
+    """The index of the documents of ``d``, built by the first query that asks for it."""
+    return once(spark, ("documents", d), lambda: search.build_index(docs(spark, d), "doc_id", search.DOC_COLUMNS))
+
+
+def chunk_index(spark, d):
+    return once(spark, ("chunks", d), lambda: search.build_index(table(spark, d, "chunks"), "id", search.CHUNK_COLUMNS))
+
+
 def vectors(spark, d):
     """Vectors bound to documents by id."""
     return table(spark, d, "embeddings").select("vec_id", F.col("vec_id").alias("doc_id"), "embedding")
@@ -192,27 +201,27 @@ _HITS = "WITH " + S.bm25("documents", "doc_id", search.DOC_COLUMNS, TEXT)
 
 @query(_HITS + " SELECT id AS doc_id, round(score, 9) AS score FROM hits")
 def fts_bm25(spark, d):
-    return search.bm25(docs(spark, d), "doc_id", search.DOC_COLUMNS, TEXT).select(F.col("id").alias("doc_id"), F.round("score", 9).alias("score"))
+    return search.bm25(doc_index(spark, d), TEXT).select(F.col("id").alias("doc_id"), F.round("score", 9).alias("score"))
 
 
 @query("WITH " + S.bm25("uc", "id", ["text"], QUESTION).replace("hits_n AS", UNIQUE_CHUNKS + ", hits_n AS", 1) + " SELECT id, round(score, 9) AS score FROM hits")
 def fts_bm25_chunks(spark, d):
-    return search.bm25(table(spark, d, "chunks").dropDuplicates(["id"]), "id", search.CHUNK_COLUMNS, QUESTION).select("id", F.round("score", 9).alias("score"))
+    return search.bm25(chunk_index(spark, d), QUESTION).select("id", F.round("score", 9).alias("score"))
 
 
 @query(f"WITH n AS (SELECT doc_id AS id, {S.fold('title')} AS t FROM documents), e AS (SELECT id, unnest(list_filter(string_split(t, ' '), lambda w: w <> '')) AS token FROM n) SELECT id, 'title' AS col, token, count(*) AS tf FROM e GROUP BY ALL")
 def fts_postings(spark, d):
-    return search.postings(docs(spark, d), "doc_id", ["title"])
+    return search.postings(docs(spark, d), "doc_id", ["title"]).where("col = 0").select("id", F.lit("title").alias("col"), "token", F.size("pos").cast("long").alias("tf"))
 
 
 @query(_HITS + ", j AS (SELECT d.*, score, -score * " + S.factor("effectiveness_status") + " AS b FROM hits JOIN documents d ON d.doc_id = hits.id ORDER BY score, doc_id LIMIT 20) SELECT doc_id, doc_number, title, doc_type, issuing_date, effectiveness_status, round(b, 6) AS score, row_number() OVER (ORDER BY b DESC, j.score, doc_id) AS rank FROM j")
 def q_search_documents(spark, d):
-    return search.search_documents(docs(spark, d), TEXT).drop("snippet").withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("long"))
+    return search.search_documents(docs(spark, d), TEXT, index=doc_index(spark, d)).drop("snippet").withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(_HITS + " SELECT count(*) AS total FROM hits JOIN documents d ON d.doc_id = hits.id WHERE effectiveness_status = 'con_hieu_luc'")
 def agg_count_total(spark, d):
-    return search.count_matches(docs(spark, d), TEXT, status="con_hieu_luc")
+    return search.count_matches(docs(spark, d), TEXT, index=doc_index(spark, d), status="con_hieu_luc")
 
 
 _LEG = _HITS + ", bleg AS (SELECT doc_id, row_number() OVER (ORDER BY score, doc_id) AS bm25_rank FROM hits JOIN documents d ON d.doc_id = hits.id QUALIFY bm25_rank <= 200)"
@@ -220,7 +229,7 @@ _LEG = _HITS + ", bleg AS (SELECT doc_id, row_number() OVER (ORDER BY score, doc
 
 @query(_LEG + " SELECT * FROM bleg")
 def q_fts5_search(spark, d):
-    return search.fts_leg(docs(spark, d), TEXT).withColumn("bm25_rank", F.col("bm25_rank").cast("long"))
+    return search.fts_leg(docs(spark, d), TEXT, index=doc_index(spark, d)).withColumn("bm25_rank", F.col("bm25_rank").cast("long"))
 
 
 # ---- vectors
@@ -261,7 +270,7 @@ def join_rrf_full_outer(spark, d):
     + " END, 9) AS score FROM fused f LEFT JOIN documents d ON d.doc_id = f.doc_id) SELECT doc_id, doc_number, doc_type, effectiveness_status, sources, score, row_number() OVER (ORDER BY score DESC, bm25_rank NULLS LAST, vector_rank NULLS LAST) AS rank FROM j QUALIFY rank <= 20"
 )
 def q_hybrid_search(spark, d):
-    return search.hybrid_search(docs(spark, d), vectors(spark, d), TEXT, vector0(spark, d), "balanced", threshold=0.1).withColumn("rank", F.col("rank").cast("long"))
+    return search.hybrid_search(docs(spark, d), vectors(spark, d), TEXT, vector0(spark, d), "balanced", threshold=0.1, index=doc_index(spark, d)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(
@@ -294,11 +303,11 @@ _RETR = (
 
 
 def _retrieved(spark, d):
-    return rag.retrieve(table(spark, d, "chunks"), _cv(spark, d), QUESTION, vector0(spark, d))
+    return rag.retrieve(table(spark, d, "chunks"), _cv(spark, d), QUESTION, vector0(spark, d), index=chunk_index(spark, d))
 
 
 def _chain(spark, d):
-    return rag.chain(table(spark, d, "chunks"), _cv(spark, d), docs(spark, d), table(spark, d, "doc_relations"), QUESTION, vector0(spark, d))
+    return rag.chain(table(spark, d, "chunks"), _cv(spark, d), docs(spark, d), table(spark, d, "doc_relations"), QUESTION, vector0(spark, d), index=chunk_index(spark, d))
 
 
 @query(_RETR + "SELECT chunk_id, document_id, content, dieu, khoan, score, source FROM ret")

@@ -79,8 +79,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_ONCE: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, key: tuple, make):
+    """What ``make`` gives, made once for each application and key: for indexes that many requests share."""
+    full = (spark.sparkContext.applicationId, *key)
+    if full not in _ONCE:
+        _ONCE[full] = make()
+    return _ONCE[full]
+
+
 def remove_scratch(spark: SparkSession) -> None:
     """Deletes the session's checkpoints and tables of ``cut`` and ``stored``; frames that came from them are void then."""
+    _ONCE.clear()
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(current.get())
