@@ -14,4 +14,5 @@ def test_same_as_sql(spark, small, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, small, name):
     df = QUERIES[name](spark, small)
-    assert df.columns and df.count() >= 0
+    rows = df.collect()
+    assert df.columns and rows and len({str(r) for r in rows}) > len(rows) // 2

@@ -37,5 +37,6 @@ def blocks(drafts: DataFrame, id_col: str = "id", text_col: str = "text") -> Dat
     style = F.when(head(1), "heading1").when(head(2), "heading2").when(head(3), "heading3").when(s.startswith("- "), "bullet").when(s == "---", "rule").otherwise("body")
     align = F.when(marked, "left").when(centred, "center").when(dated, "right").otherwise("left")
     size = F.when(head(1), 16).when(head(2), 14).when(head(3), 13).when(s == "---", 10).when(~marked & bold, 14).otherwise(13)
-    text = F.when(head(1), F.substring(s, 3, 100000)).when(head(2), F.substring(s, 4, 100000)).when(head(3), F.substring(s, 5, 100000)).when(s.startswith("- "), F.substring(s, 3, 100000)).when(s == "---", "—" * 30).otherwise(s)
+    rest = lambda k: F.substring(s, k, F.length(s))
+    text = F.when(head(1), rest(3)).when(head(2), rest(4)).when(head(3), rest(5)).when(s.startswith("- "), rest(3)).when(s == "---", "—" * 30).otherwise(s)
     return lines.select(id_col, "n", style.alias("style"), align.alias("align"), size.alias("size"), text.alias("text"))

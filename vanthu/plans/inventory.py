@@ -9,8 +9,8 @@ from pyspark.sql import Window as W, functions as F
 
 from vanthu.functions import text as T
 from vanthu.operators import chat, docgen, ingest, search, wiki
-from vanthu.plans import pipeline as P, searching as Q
-from vanthu.runtime import ensure_checkpoint_dir, table
+from vanthu.plans import pipeline as P, searching as Q, textsql as TX, wikisql as X
+from vanthu.runtime import scratch, table
 from vanthu.sources import files
 
 QUERIES: dict = {}
@@ -76,8 +76,6 @@ derived("str_sse", "fn_sse_event", ["n", "data"])
 derived("fn_summary_fallback", "q_compile_wiki", ["document_id", "summary"])
 derived("fn_obsidian_md", "q_compile_wiki", ["document_id", "markdown"])
 derived("q_compile_all", "q_compile_wiki", ["slug", "document_id", "markdown"])
-derived("str_incremental_wiki", "q_compile_wiki", ["slug", "document_id"])
-derived("str_incremental_relations", "q_store_relations", ["source_doc_id", "target_doc_number", "relation_type"])
 derived("fn_section_title", "agg_sections", ["doc_number", "title"])
 
 
@@ -213,7 +211,7 @@ def fn_template_defaults(spark, _d):
     return spark.createDataFrame(list(docgen.defaults("to_trinh_mau", datetime.date(2026, 4, 5)).items()), "v string, value string")
 
 
-@query()
+@query(TX.blocks("SELECT doc_id, '# Công văn' || chr(10) || 'Hà Nội, ngày 5 tháng 4 năm 2026' || chr(10) || '- [Chưa điền can_cu_phap_ly]' || chr(10) || '---' || chr(10) || '[Chưa điền nguoi_ky]' AS t FROM documents"))
 def q_generate_draft(spark, d):
     """A letter for every document: its template filled and its lines classified for a word-processor file."""
     letter = "# Công văn\n{{ dia_danh }}, ngày {{ngay}} tháng {{ thang }} năm {{nam}}\n- {{ can_cu_phap_ly }}\n---\n{{ nguoi_ky }}"
@@ -232,9 +230,9 @@ def q_relations_of(spark, d):
 
 @query("SELECT user_id AS file_hash, arg_max(event_type, (ts, event_id)) AS state FROM events GROUP BY 1")
 def str_ingest_status(spark, d):
-    from vanthu.streaming.incremental import latest_status
+    from vanthu.operators.uploads import latest
 
-    return latest_status(table(spark, d, "events").select(F.col("user_id").alias("file_hash"), F.struct("ts", "event_id").alias("at"), F.col("event_type").alias("state")))
+    return latest(table(spark, d, "events").select(F.col("user_id").alias("file_hash"), F.struct("ts", "event_id").alias("step"), F.col("event_type").alias("state")))
 
 
 @query("SELECT doc_id, 1 AS embedding_indexed FROM documents WHERE embedding_indexed = 1 OR length(text) > 10")
@@ -249,16 +247,10 @@ def dml_update_hash(spark, d):
     return Q.docs(spark, d).where("text is not null").select("doc_id", F.coalesce("file_hash", F.sha2(F.encode("text", "UTF-8"), 256)).alias("file_hash"))
 
 
-def _scratch(spark, name: str) -> str:
-    import uuid
-
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT DISTINCT id, document_id, chunk_index FROM chunks")
 def snk_tables(spark, d):
     """Chunks appended to a table in the shared folder and read again."""
-    out = _scratch(spark, "table")
+    out = scratch(spark, "table")
     files.append(table(spark, d, "chunks").select("id", "document_id", "chunk_index").distinct(), out)
     return spark.read.parquet(out)
 
@@ -271,16 +263,17 @@ def snk_vector_upsert(spark, d):
     return old.join(e.select("vec_id"), "vec_id", "left_anti").unionByName(e).select("vec_id")
 
 
-@query("SELECT DISTINCT id::VARCHAR AS id, document_number FROM chunks WHERE document_id IS NOT NULL")
+@query("SELECT DISTINCT id::VARCHAR AS id, document_number, chunk_index AS index, md5(text) AS h FROM chunks WHERE document_id IS NOT NULL AND text IS NOT NULL")
 def src_json_corpus(spark, d):
-    """Corpus files written from the chunk table and read again by the corpus source."""
-    out = _scratch(spark, "corpus")
-    c = table(spark, d, "chunks").where("document_id is not null").dropDuplicates(["id"])
+    """Corpus files made of the chunk table, and one that is no JSON, read by the corpus source: several lines an object, bad files skipped."""
+    out = scratch(spark, "corpus")
+    c = table(spark, d, "chunks").where("document_id is not null and text is not null").dropDuplicates(["id"])
     one = F.struct(F.col("id").cast("string").alias("id"), F.col("chunk_index").alias("index"), "text", "dieu", "khoan", "document_number")
-    grouped = c.groupBy("document_id").agg(F.collect_list(one).alias("chunks"))
-    grouped.select(F.col("document_id").cast("string").alias("source_id"), "chunks").write.json(out)
-    lines = spark.read.schema(ingest.CORPUS_SCHEMA).json(out)
-    return lines.select(F.explode("chunks").alias("c")).select("c.id", "c.document_number")
+    grouped = c.groupBy("document_id").agg(F.collect_list(one).alias("chunks")).select(F.struct(F.col("document_id").cast("string").alias("source_id"), "chunks").alias("o"))
+    lists = grouped.groupBy(F.pmod(F.xxhash64("o.source_id"), F.lit(max(1, c.count() // 20_000))).alias("f")).agg(F.to_json(F.collect_list("o"), {"pretty": "true"}).alias("value"))
+    named = lists.withColumn("f", F.col("f").cast("string")).unionByName(spark.createDataFrame([("bad", "{")], "f string, value string"))
+    named.repartition("f").write.partitionBy("f").text(f"{out}/text")
+    return files.read_corpus(spark, f"{out}/text/*", "*.txt").select(F.explode("chunks").alias("c")).select("c.id", "c.document_number", "c.index", F.md5("c.text").alias("h"))
 
 
 @query("SELECT count(*) = 0 AS empty FROM documents")
@@ -288,15 +281,26 @@ def src_seed_if_empty(spark, d):
     return Q.docs(spark, d).agg((F.count(F.lit(1)) == 0).alias("empty"))
 
 
-@query()
+@query(f"WITH {X.PAGES} SELECT slug, document_id, md5(markdown) AS h FROM pg")
 def snk_wiki_md(spark, d):
-    """Pages written as text and JSON and read again."""
-    out = _scratch(spark, "vault")
-    files.write_pages(wiki.compile_wiki(Q.docs(spark, d), table(spark, d, "chunks")).select("slug", "document_id", "markdown"), out)
-    return spark.read.schema("slug string, document_id long").json(f"{out}/json")
+    """The pages' JSON written to a folder and read again."""
+    out = scratch(spark, "vault")
+    files.write_pages(P._pages(spark, d), out)
+    return spark.read.schema("slug string, document_id long, markdown string").json(f"{out}/json").select("slug", "document_id", F.md5("markdown").alias("h"))
 
 
-@query()
+@query("SELECT name, text FROM (VALUES ('a-b', '# A' || chr(10) || 'x'), ('c', 'neu'), ('d', '')) t(name, text)")
+def snk_wiki_files(spark, _d):
+    """Pages written as one text each, one of them again: it replaces its own text only."""
+    out = scratch(spark, "vault")
+    pages = spark.createDataFrame([("a-b", "# A\nx"), ("c", "alt"), ("d", "")], "slug string, markdown string")
+    files.write_page_files(pages, out)
+    files.write_page_files(pages.where("slug = 'c'").withColumn("markdown", F.lit("neu")), out)
+    back = spark.read.text(f"{out}/tom-tat", wholetext=True).select(F.col("slug").alias("name"), F.regexp_replace("value", "\n$", "").alias("text"))
+    return back
+
+
+@query("SELECT doc_id, list_transform(['a', 'e', 'i', 'o', 'u'], lambda c: (length(coalesce(title, '')) - length(replace(coalesce(title, ''), c, '')))::FLOAT) AS embedding FROM documents")
 def fn_encode(spark, d):
     """Vectors of titles by a stand-in encoder: letter counts, in place of a sentence model."""
     return files.encode(Q.docs(spark, d), "doc_id", "title", lambda texts: [[float(t.count(c)) for c in "aeiou"] for t in texts])

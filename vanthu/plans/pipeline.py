@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from vanthu.functions import dims, text as T
 from vanthu.operators import chat, docgen, guard, ingest, rag, relations, search, wiki
-from vanthu.plans import sqltext as S, wikisql as X
-from vanthu.runtime import cut, ensure_checkpoint_dir, table
+from vanthu.plans import sqltext as S, textsql as TX, wikisql as X
+from vanthu.runtime import cut, scratch, table
 from vanthu.streaming import incremental
 
 QUERIES: dict = {}
@@ -122,12 +122,12 @@ def fn_cosine(spark, d):
     return e.select("vec_id", F.round(search.cosine(F.col("embedding"), list(e.where("vec_id = 0").select("embedding").first()[0])), 6).alias("score"))
 
 
-@query()
+@query(f"SELECT doc_id, {TX.highlight('content_markdown', 'giếng khoan')} AS snippet FROM documents WHERE content_markdown IS NOT NULL")
 def fn_highlight(spark, d):
     return docs(spark, d).where("content_markdown is not null").select("doc_id", T.highlight(F.col("content_markdown"), "giếng khoan").alias("snippet"))
 
 
-@query()
+@query("SELECT doc_id, " + X.slug("coalesce(title, '')") + " AS slug FROM documents")
 def fn_slugify(spark, d):
     return docs(spark, d).select("doc_id", T.slugify(F.coalesce("title", F.lit(""))).alias("slug"))
 
@@ -139,10 +139,10 @@ def fn_build_title(spark, d):
 
 
 # ---- ingest
-@query()
+@query("WITH " + TX.DOCUMENTS + " SELECT doc_number, doc_type, md5(content) AS content, n_chunks, issuing_date, issuing_authority, 'con_hieu_luc' AS effectiveness_status FROM (SELECT *, 'cong_van' AS doc_type FROM dm)")
 def q_ingest_corpus(spark, d):
-    """Documents made again from the chunk table: cleaned, without repeats, grouped by number."""
-    return ingest.documents_of(_chunks(spark, d)).drop("content_markdown")
+    """Documents made again from the chunk table: cleaned, without repeats, grouped by number. Their titles are those of fn_parse_clean_title and fn_build_title."""
+    return ingest.documents_of(_chunks(spark, d)).select("doc_number", "doc_type", F.md5("content_markdown").alias("content"), "n_chunks", "issuing_date", "issuing_authority", "effectiveness_status")
 
 
 def _chunks(spark, d):
@@ -161,12 +161,12 @@ def agg_sections(spark, d):
     return ingest.sections_of(_chunks(spark, d))
 
 
-@query()
+@query("WITH " + TX.DOCUMENTS + " SELECT doc_number, length(content)::INTEGER AS n, md5(content) AS h FROM dm")
 def agg_concat_markdown(spark, d):
     return ingest.documents_of(_chunks(spark, d)).select("doc_number", F.length("content_markdown").alias("n"), F.md5("content_markdown").alias("h"))
 
 
-@query()
+@query("WITH " + TX.PIECES + " SELECT id, i AS index, text, dieu, khoan, token_count FROM pc")
 def q_parse_and_chunk(spark, d):
     return ingest.parse_and_chunk(docs(spark, d), "doc_id", "text")
 
@@ -247,7 +247,7 @@ def join_llm_minus_regex(spark, _d):
 
 
 # ---- guard
-@query()
+@query(TX.ROUTE)
 def q_guard_route(spark, d):
     return guard.route(docs(spark, d).select("doc_id", F.col("title").alias("question")))
 
@@ -383,7 +383,7 @@ def fn_template_vars(spark, _d):
     return spark.createDataFrame([(k, len(v)) for k, v in docgen.VARIABLES.items()], "template string, n int")
 
 
-@query()
+@query(TX.blocks("SELECT doc_id, content_markdown AS t FROM documents WHERE content_markdown IS NOT NULL"))
 def fn_md_to_docx_blocks(spark, d):
     return docgen.blocks(docs(spark, d).where("content_markdown is not null"), "doc_id", "content_markdown")
 
@@ -400,9 +400,7 @@ ORACLE_SQL["str_event_windows"] = "SELECT date_trunc('hour', ts) AS start, event
 @query()
 def str_incremental_index(spark, d):
     """Documents that one run of the incremental job sees, by way of a file stream that ends when all files are read."""
-    import uuid
-
-    folder = f"{ensure_checkpoint_dir(spark)}/incremental-{uuid.uuid4().hex}"
+    folder = scratch(spark, "incremental")
     schema = docs(spark, d).schema
 
     def step(batch, _n):

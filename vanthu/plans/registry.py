@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vanthu.plans import general, inventory, pipeline, searching
+from vanthu.plans import general, inventory, pipeline, searching, services
 
-MODULES = [searching, pipeline, inventory, general]
+MODULES = [searching, pipeline, inventory, general, services]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

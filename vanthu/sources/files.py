@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from vanthu.operators.ingest import CORPUS_SCHEMA
 
 
-def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """All *.json files of a folder, one object each; malformed files are dropped."""
-    return spark.read.schema(CORPUS_SCHEMA).option("multiLine", True).option("mode", "DROPMALFORMED").json(f"{folder}/*.json").select("*", "_metadata")
+def read_corpus(spark: SparkSession, folder: str, names: str = "*.json") -> DataFrame:
+    """All *.json files of a folder, not of those below it, one object or a list of objects each; malformed files are dropped."""
+    return spark.read.schema(CORPUS_SCHEMA).option("multiLine", True).option("mode", "DROPMALFORMED").json(f"{folder}/{names}").select("*", "_metadata")
 
 
 def read_uploads(spark: SparkSession, glob: str) -> DataFrame:
@@ -84,11 +84,62 @@ def write_docx(blocks: list[dict]) -> bytes:
     return out.getvalue()
 
 
+def select_folder(spark: SparkSession, base: str) -> str:
+    """``base``/chunks where it exists, else ``base``/data."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/chunks")
+    return f"{base}/chunks" if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path) else f"{base}/data"
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def write_chunks(chunks: DataFrame, names: DataFrame, folder: str) -> None:
+    """The pieces of parsed uploads as JSON, one folder for each document number; a document written again replaces its own only.
+
+    chunks: (file_hash, doc_number, index, text, dieu, khoan, token_count); names: (file_hash, file_name).
+    """
+    one = F.struct("index", "text", "dieu", "khoan", "token_count")
+    safe = F.regexp_replace(F.translate("doc_number", "/-", "__"), r"[^\w.]", "_")
+    rows = chunks.groupBy("file_hash", "doc_number").agg(F.array_sort(F.collect_list(one)).alias("chunks")).join(names.select("file_hash", "file_name").dropDuplicates(["file_hash"]), "file_hash")
+    rows.select(safe.alias("safe"), F.lit("upload").alias("source"), "file_name", "file_hash", "chunks").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("safe").json(folder)
+
+
 def write_pages(pages: DataFrame, folder: str) -> None:
-    """Wiki pages as text and as JSON, spread over files."""
-    pages.select("markdown").write.mode("overwrite").text(f"{folder}/markdown")
-    pages.drop("markdown").write.mode("overwrite").json(f"{folder}/json")
+    """A snapshot of the wiki: all pages, each with its text, as JSON in a new folder. Any number of pages makes as many files as there are tasks."""
+    pages.write.json(f"{folder}/json")
+
+
+def write_page_files(pages: DataFrame, folder: str) -> None:
+    """The texts of pages, each in a folder named by its slug. Pages written before stay, but for those written again. For vaults that a person opens; a large wiki is kept by ``write_pages``."""
+    texts = pages.select("slug", F.col("markdown").alias("value"))
+    texts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slug").text(f"{folder}/tom-tat")
+
+
+def append_log(spark: SparkSession, folder: str, messages: DataFrame) -> None:
+    """Adds lines "- [time] message" of (at, message) to the log, which is never rewritten."""
+    line = F.concat(F.lit("- ["), F.date_format("at", "yyyy-MM-dd HH:mm:ss"), F.lit("] "), F.col("message"))
+    messages.select(line.alias("value")).write.mode("append").text(f"{folder}/log")
+
+
+def write_draft(spark: SparkSession, folder: str, draft_id: str, markdown: str, docx: bytes, pdf: Callable[[bytes], bytes | None] | None = None) -> dict[str, str | None]:
+    """A draft as md and docx, and as pdf where a converter is given and can do it; the paths by extension."""
+    kept = {"md": markdown.encode(), "docx": docx, "pdf": pdf(docx) if pdf else None}
+    out: dict[str, str | None] = {}
+    for ext, data in kept.items():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{draft_id}.{ext}")
+        out[ext] = None
+        if data is not None:
+            stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+            stream.write(bytearray(data))
+            stream.close()
+            out[ext] = path.toString()
+    return out
+
+
+def read_draft(spark: SparkSession, folder: str, draft_id: str, ext: str) -> bytes | None:
+    """The bytes of a draft, or none where there is no such file. Other kinds than pdf, docx and md, and ids with other characters than letters, digits, _ and -, are refused."""
+    if ext not in ("pdf", "docx", "md") or not draft_id.replace("_", "").replace("-", "").isalnum():
+        raise ValueError(f"no draft is kept as {draft_id}.{ext}")
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", f"{draft_id}.{ext}").load(folder).select("content").take(1)
+    return bytes(rows[0][0]) if rows else None

@@ -8,6 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from vanthu.operators import relations, wiki
+from vanthu.runtime import cut
+from vanthu.sources.store import Store
+
 
 def new_rows(spark: SparkSession, schema, glob: str, step: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Runs ``step`` on all rows of files not seen before, then stops; the checkpoint takes the place of processed flags."""
@@ -15,6 +19,43 @@ def new_rows(spark: SparkSession, schema, glob: str, step: Callable[[DataFrame,
     stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def reset(spark: SparkSession, checkpoint: str) -> None:
+    """Forgets what an incremental job has seen: its next run takes all files again."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(checkpoint)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def store_relations(store: Store, docs: DataFrame) -> int:
+    """Adds the relations that ``docs`` state and that are not stored yet, with their targets among the stored documents; returns how many."""
+    found = relations.resolve(relations.extract(docs), store.read("documents").select("doc_id", "doc_number"))
+    fresh = cut(relations.unseen(found, store.read("doc_relations")).withColumns({"detected_by": F.lit("regex"), "confidence": F.lit(1.0)}))
+    n = fresh.count()
+    if n:
+        store.commit(append={"doc_relations": fresh})
+    return n
+
+
+def store_pages(store: Store, docs: DataFrame, **more) -> int:
+    """Compiles the pages of ``docs`` and merges them by slug with the stored ones; returns how many documents were compiled."""
+    compiled = cut(wiki.compile_wiki(docs, store.read("chunks"), **more).drop("reviewed"))
+    old = store.read("wiki_pages")
+    columns = [c for c in compiled.columns if c != "slug"]
+    merged = wiki.upsert(old.select("slug", *columns, "reviewed"), compiled)
+    lint = old.select("slug", "lint_status")
+    store.commit(replace={"wiki_pages": merged.join(lint, "slug", "left").withColumns({"lint_status": F.coalesce("lint_status", F.lit("ok")), "updated_at": F.current_timestamp()})})
+    return docs.count()
+
+
+def relations_of_new(spark: SparkSession, schema, glob: str, store: Store, checkpoint: str) -> None:
+    """Relations of all documents in files not seen before. A batch that is taken again adds nothing, since its relations are there."""
+    new_rows(spark, schema, glob, lambda batch, _: store_relations(store, batch), checkpoint)
+
+
+def pages_of_new(spark: SparkSession, schema, glob: str, store: Store, checkpoint: str, **more) -> None:
+    """Pages of all documents in files not seen before. A batch that is taken again gives the same pages."""
+    new_rows(spark, schema, glob, lambda batch, _: store_pages(store, batch, **more), checkpoint)
+
+
 def windowed_events(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts and sums of (ts, event_type, value) by window; later events than ``late`` are dropped by the watermark."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
@@ -41,12 +82,3 @@ def sse(events: DataFrame) -> DataFrame:
     rows = events.select("n", F.concat(F.lit("data: "), F.to_json(F.struct("type", "node", "content")), F.lit("\n\n")).alias("data"))
     end = events.agg((F.coalesce(F.max("n"), F.lit(0)) + 1).alias("n")).select("n", F.lit("data: [DONE]\n\n").alias("data"))
     return rows.unionByName(end)
-
-
-#: The states of an upload's way through the pipeline, in order; the last three end it.
-INGEST_STATES = ["pending", "validating", "ocr_running", "parsing", "ingesting", "indexing", "extracting", "compiling", "done", "failed", "duplicate"]
-
-
-def latest_status(events: DataFrame) -> DataFrame:
-    """The last state of every file from (file_hash, at, state)."""
-    return events.groupBy("file_hash").agg(F.max_by("state", "at").alias("state"))
