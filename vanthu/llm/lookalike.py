@@ -167,8 +167,9 @@ class Rewriter:
         for k, v in plain.items():
             self.automaton.add_word(k, (len(k), v))
         self.automaton.make_automaton()
-        single = "".join(re.escape(k) for k in mapping if len(k) == 1)
-        self.suspect = re.compile(f"[{single}{_ANY_MARK}\U000e0000-\U000e0fff]")
+        # a text without any of these is as it should be; above the first plane all characters are looked at
+        single = "".join(re.escape(k) for k in mapping if len(k) == 1 and k < "\U00010000")
+        self.suspect = re.compile(f"[{single}{_ANY_MARK}\U00010000-\U0001ffff\U000e0000-\U000e0fff]")
         self.twin_letters = set(twins)
         self.words = words
 
@@ -218,7 +219,16 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for m in several:
         automaton.add_word(m, m)
     automaton.make_automaton()
-    foreign, latin = Counter(), Counter()
+    tokens, foreign, latin = Counter(), Counter(), Counter()
+
+    def fold() -> None:
+        for token, n in tokens.items():
+            for w in twin_words(token):
+                foreign[w] += n
+            for w in _LATIN_TWIN.findall(token):
+                latin[w] += n
+        tokens.clear()
+
     for batch in batches:
         for column in batch.columns:
             texts = [t for t in column.to_pylist() if t]
@@ -228,8 +238,10 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 total += np.bincount(codes[codes < _LAST], minlength=_LAST)
                 for _, m in automaton.iter(joined):
                     several[m] += 1
-                foreign.update(twin_words(joined))
-                latin.update(_LATIN_TWIN.findall(joined))
+                tokens.update(joined.split())
+                if len(tokens) > 500_000:
+                    fold()
+    fold()
     rows = [("m", m, int(total[ord(m)]) if len(m) == 1 else several[m]) for m in members] + [("f", w, n) for w, n in foreign.items()] + [("l", w, n) for w, n in latin.items()]
     rows = [r for r in rows if r[2]]
     for at in range(0, max(1, len(rows)), 100_000):
