@@ -136,6 +136,12 @@ def split_oversized(chunks: DataFrame, max_words: int = MAX_WORDS, overlap: int
     return long.dropDuplicates(["id"]).mapInPandas(run, schema)
 
 
+def joined(pieces: DataFrame) -> DataFrame:
+    """(id, words): the words of the divided texts, made of their pieces without the words each repeats."""
+    own = F.expr("slice(filter(split(text, '(?U)\\\\s+'), w -> w <> ''), overlap_words + 1, n_words)")
+    return pieces.groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece", own.alias("ws")))), lambda p: p["ws"])).alias("words"))
+
+
 def found(chunks: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
     """(id) of the chunks that were cut."""
     return split_oversized(chunks, max_words).where("piece = 0").select("id")

@@ -202,3 +202,15 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), counts], names=[id_col, "n_tokens"])
 
     return df.select(id_col, text_col).mapInArrow(run, f"{id_col} long, n_tokens long")
+
+
+def decode_ids(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str = DEFAULT_VOCABULARY) -> DataFrame:
+    """(id, text): the text of every list of ids, by the labels of the arcs; empty for none. No shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = encoder(path).automaton
+        for batch in batches:
+            texts = [automaton.decode(ids or []).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
+
+    return df.select(id_col, ids_col).mapInArrow(run, f"{id_col} long, text string")
