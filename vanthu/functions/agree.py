@@ -15,7 +15,9 @@ LOOK_ALIKE = {
     "в": "b", "β": "b", "н": "h", "η": "h", "ε": "e", "ζ": "z", "ð": "đ", "ɖ": "đ", "‐": "-", "−": "-",
 }
 _TABLE = str.maketrans(LOOK_ALIKE)
-_HIDDEN = {"Cf", "Cc", "Zs", "Zl", "Zp", "Mn"}
+_HIDDEN = {"Cf", "Cc", "Zs", "Zl", "Zp"}
+# Marks that cannot be seen; all others tell numbers apart unless they compose.
+_UNSEEN_MARKS = {"\u034f", *map(chr, range(0x180B, 0x1810)), *map(chr, range(0xFE00, 0xFE10)), *map(chr, range(0xE0100, 0xE01F0))}
 
 
 def number_key(value: str | None) -> str | None:
@@ -27,7 +29,7 @@ def number_key(value: str | None) -> str | None:
     if value is None:
         return None
     text = unicodedata.normalize("NFKC", value).lower()
-    text = "".join(c for c in text if unicodedata.category(c) not in _HIDDEN)
+    text = "".join(c for c in text if unicodedata.category(c) not in _HIDDEN and c not in _UNSEEN_MARKS)
     return unicodedata.normalize("NFC", text.translate(_TABLE)).rstrip(".,;)")
 
 

@@ -20,13 +20,14 @@ PHRASES = [
     ("vien_dan", r"theo\s+quy\s+định\s+tại\s+(Điều\s+\d+)?\s*(Luật|Nghị\s+định|Thông\s+tư|Quyết\s+định)\s+(số\s+)?([^\s,;\.]+)"),
 ]
 SECTION_REACH = 500
+_HITS = "array<struct<k:int,kind:string,i:int,m:string,before:string>>"
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", number_col: str = "doc_number", text_col: str = "content_markdown") -> DataFrame:
     """(source_doc_id, target_doc_number, relation_type, source_section): relations stated in the texts.
 
-    Of the same type and target the first in phrase order counts; a document's own number is no target. The text before a
-    match, by which its section is found, is told by the lengths of the pieces around earlier matches. All in the JVM.
+    Of the same type and target the first in phrase order counts; a document's own number is no target. A match's section is
+    told by the last ``SECTION_REACH`` characters before it, so the work grows with the text, not with its matches. All in the JVM.
     """
     base = docs.select(F.col(id_col).alias("source_doc_id"), F.col(number_col).alias("own"), F.col(text_col).alias("t")).where("t is not null")
     # one pass: the matches of all phrases as (order, type, match number, matched text, text before it)
@@ -35,9 +36,16 @@ def extract(docs: DataFrame, id_col: str = "doc_id", number_col: str = "doc_numb
         java = "(?iuU)" + pattern
         matches = F.regexp_extract_all(F.col("t"), F.lit(java), F.lit(0))
         rest = F.split(F.col("t"), java)
-        # text before match i: the pieces 0..i and the matches 0..i-1; only its last characters are kept
-        item = F.transform(matches, lambda m, i: F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), i.alias("i"), m.alias("m"), F.right(F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), i), lambda j: F.array(F.get(rest, j), F.when(j < i, F.get(matches, j)).otherwise("")))), ""), F.lit(SECTION_REACH)).alias("before")))
-        found.append(F.when(F.size(matches) > 0, item).otherwise(F.array().cast("array<struct<k:int,kind:string,i:int,m:string,before:string>>")))
+        # one walk over the pieces around the matches, which holds the last characters before the current one
+        start = F.struct(F.lit("").alias("tail"), F.lit(0).alias("i"), F.array().cast(_HITS).alias("out"))
+
+        def step(acc, m):
+            before = F.right(F.concat(acc["tail"], F.coalesce(F.get(rest, acc["i"]), F.lit(""))), F.lit(SECTION_REACH))
+            hit = F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), acc["i"].alias("i"), m.alias("m"), before.alias("before"))
+            return F.struct(F.right(F.concat(before, m), F.lit(SECTION_REACH)).alias("tail"), (acc["i"] + 1).alias("i"), F.concat(acc["out"], F.array(hit)).alias("out"))
+
+        item = F.aggregate(matches, start, step, lambda acc: acc["out"])  # built at once, so the names it uses are this phrase's
+        found.append(F.when(F.size(matches) > 0, item).otherwise(F.array().cast(_HITS)))
     hits = base.select("source_doc_id", "own", F.explode(F.flatten(F.array(*found))).alias("h"))
     numbered = hits.select("source_doc_id", "own", "h.*", F.posexplode(T.doc_numbers(F.col("h.m"))).alias("p", "target_doc_number"))
     other = numbered.where(~F.col("target_doc_number").eqNullSafe(F.col("own")))

@@ -8,9 +8,9 @@ from functools import reduce
 from pyspark.sql import Window as W, functions as F
 
 from vanthu.functions import text as T
-from vanthu.operators import chat, docgen, ingest, search, wiki
+from vanthu.operators import chat, docgen, ingest, search, vectors, wiki
 from vanthu.plans import pipeline as P, searching as Q, textsql as TX, wikisql as X
-from vanthu.runtime import scratch, table
+from vanthu.runtime import once, scratch, table
 from vanthu.sources import files
 
 QUERIES: dict = {}
@@ -68,6 +68,7 @@ derived("fn_lint_status", "q_lint_wiki", ["slug", "lint_status"])
 derived("dml_update_lint", "q_lint_wiki", ["slug", "lint_status"])
 derived("join_lint_pages_orphan", "q_lint_pages", ["slug"], where="orphan")
 derived("join_lint_pages_links", "q_lint_pages", ["slug", "broken"], where="broken > 0")
+derived("flt_lint", "q_lint_pages", ["slug"], where="lint_status <> 'ok'")
 derived("join_lint_pages_expired", "q_lint_pages", ["slug"], where="expired")
 derived("agg_lint_pages_issues", "q_lint_pages", ["slug", "broken", "expired", "orphan"], where="lint_status <> 'ok'")
 derived("dml_update_lint_pages", "q_lint_pages", ["slug", "lint_status"])
@@ -120,6 +121,30 @@ def flt_wiki_field(spark, d):
     return Q.docs(spark, d).where(F.to_json(F.array("doc_type", "lang")).like("%vi%")).select("doc_id")
 
 
+@query("WITH pg AS (SELECT doc_id, [doc_type, lang] AS legal_fields FROM documents) SELECT doc_id, (SELECT count(*) FROM pg) AS total FROM pg WHERE to_json(legal_fields) LIKE '%vi%' ORDER BY doc_id LIMIT 20")
+def flt_wiki_field_page(spark, d):
+    """A page of pages whose field list holds a string; the total is that of all pages."""
+    pages = Q.docs(spark, d).select("doc_id", F.array("doc_type", "lang").alias("legal_fields"))
+    kept = pages.where(F.contains(F.to_json("legal_fields"), F.lit("vi"))).orderBy("doc_id").limit(20)
+    return kept.select("doc_id", F.lit(pages.count()).cast("long").alias("total"))
+
+
+@query("SELECT queries, queries * 10 AS wanted, true AS enough FROM (SELECT count(*) AS queries FROM embeddings WHERE vec_id % 20 = 0)")
+def vec_index_recall(spark, d):
+    """Whether the inverted-file index finds at least nine of ten of the ten nearest vectors, looked into as many cells as other queries need for 95 in 100."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    index = once(spark, ("vectors", d), lambda: vectors.build(e))
+    return vectors.recall(index, e, 10, vectors.probes_for(index, e, 10, 0.95)).select("queries", "wanted", (F.col("recall") >= 0.9).alias("enough"))
+
+
+@query("WITH sc AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q, embeddings e) SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5")
+def vec_index_whole(spark, d):
+    """The index looked into all of its cells gives what brute force does."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    index = once(spark, ("vectors", d), lambda: vectors.build(e))
+    return vectors.search(index, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5, len(index.centres))
+
+
 @query("SELECT doc_id FROM documents ORDER BY issuing_date DESC NULLS LAST, doc_id LIMIT 50")
 def srt_issuing_date_text(spark, d):
     return Q.docs(spark, d).orderBy(F.desc("issuing_date"), "doc_id").limit(50).select("doc_id")
@@ -136,6 +161,12 @@ def srt_chunks_by_index(spark, d):
     return c.select("document_id", "id", F.row_number().over(W.partitionBy("document_id").orderBy("chunk_index", "id")).cast("long").alias("n"))
 
 
+@query("SELECT document_id, id, row_number() OVER (PARTITION BY document_id ORDER BY id) AS n FROM (SELECT DISTINCT document_id, id FROM doc_sections WHERE document_id IS NOT NULL)")
+def srt_sections_by_id(spark, d):
+    s = table(spark, d, "doc_sections").select("document_id", "id").distinct().where("document_id is not null")
+    return s.select("document_id", "id", F.row_number().over(W.partitionBy("document_id").orderBy("id")).cast("long").alias("n"))
+
+
 @query("SELECT id, row_number() OVER (PARTITION BY source_doc_id ORDER BY relation_type NULLS FIRST, id) AS n FROM (SELECT DISTINCT id, source_doc_id, relation_type FROM doc_relations)")
 def srt_relations_by_type(spark, d):
     r = table(spark, d, "doc_relations").select("id", "source_doc_id", "relation_type").distinct()
@@ -188,10 +219,11 @@ def join_existing_doc(spark, d):
     return ingest.insert_if_absent(known, Q.docs(spark, d).where("doc_number is not null"), "doc_number").select("doc_id")
 
 
-@query("SELECT doc_id, trim(substring(content_markdown, 20, 481)) || '...' AS summary FROM documents WHERE content_markdown IS NOT NULL AND NOT regexp_matches(substring(content_markdown, 20, 481), '^[\\s\\p{Z}]|[\\s\\p{Z}]$')")
+@query(f"SELECT doc_id, regexp_replace(substring(content_markdown, n + 1, greatest(0, 500 - n)), '^{X.WS}+|{X.WS}+$', '', 'g') || '...' AS summary FROM (SELECT *, length('# Van ban so ' || coalesce(doc_number, '')) + 2 AS n FROM documents WHERE content_markdown IS NOT NULL)")
 def fn_summary_slice(spark, d):
-    s = F.substring("content_markdown", 20, 481)
-    return Q.docs(spark, d).where("content_markdown is not null").where(~s.rlike(r"(?U)^\s|\s$")).select("doc_id", F.concat(F.trim(s), F.lit("...")).alias("summary"))
+    """The text behind a document's head up to its 500th character."""
+    head = F.length(F.concat(F.lit("# Van ban so "), F.coalesce("doc_number", F.lit("")))) + 2
+    return Q.docs(spark, d).where("content_markdown is not null").select("doc_id", ingest.summary_slice(F.col("content_markdown"), head).alias("summary"))
 
 
 @query("SELECT event_id, coalesce(len(json_keys(try_cast(props AS JSON))), 0)::INTEGER AS n FROM events")

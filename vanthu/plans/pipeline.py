@@ -132,10 +132,9 @@ def fn_slugify(spark, d):
     return docs(spark, d).select("doc_id", T.slugify(F.coalesce("title", F.lit(""))).alias("slug"))
 
 
-@query("SELECT doc_id, CASE WHEN coalesce(title, '') = '' THEN coalesce(h, '') ELSE h || ': ' || title END AS built FROM (SELECT doc_id, title, " + S.case(ingest.TYPE_LABEL, "coalesce(nullif(doc_type, ''), '')", "'Văn bản'") + " || ' số ' || doc_number AS h FROM documents WHERE doc_number IS NOT NULL AND doc_type = 'cong_van' AND NOT regexp_matches(upper(doc_number), '/QH|/NQ-|/ND-|/TT-|/QD-|/CT-|/NÐ-|/QÐ-'))")
+@query("SELECT doc_id, CASE WHEN coalesce(title, '') = '' THEN h ELSE h || ': ' || title END AS built FROM (SELECT doc_id, title, " + S.case(ingest.TYPE_LABEL, "ty", "'Văn bản'") + " || ' số ' || doc_number AS h FROM (SELECT *, dt.doc_type AS ty FROM documents JOIN (" + ORACLE_SQL["fn_parse_doc_type"].replace("doc_id, CASE", "doc_id AS i, CASE") + ") dt ON i = doc_id WHERE doc_number IS NOT NULL))")
 def fn_build_title(spark, d):
-    rows = docs(spark, d).where("doc_number is not null and doc_type = 'cong_van'").where(~F.upper("doc_number").rlike("/QH|/NQ-|/ND-|/TT-|/QD-|/CT-|/NÐ-|/QÐ-"))
-    return rows.select("doc_id", ingest.build_title(F.col("doc_number"), F.col("title")).alias("built"))
+    return docs(spark, d).where("doc_number is not null").select("doc_id", ingest.build_title(F.col("doc_number"), F.col("title")).alias("built"))
 
 
 # ---- ingest
@@ -302,6 +301,15 @@ def q_pages_status(spark, d):
     return wiki.status(pages.select("slug", "reviewed").join(wiki.lint(pages, docs(spark, d)), "slug"))
 
 
+@query(f"WITH {X.PAGES}, last AS (SELECT c.slug, c.document_id % 2 = 0 AS even, c.document_id, c.title, row_number() OVER (PARTITION BY c.slug, c.document_id % 2 = 0 ORDER BY c.document_id DESC) AS r FROM comp c) SELECT slug, coalesce(o.document_id, n.document_id) AS document_id, coalesce(n.title, o.title) AS title FROM (SELECT * FROM last WHERE r = 1 AND even) o FULL JOIN (SELECT * FROM last WHERE r = 1 AND NOT even) n USING (slug)")
+def dml_upsert_pages(spark, d):
+    """The pages of every second document merged by slug into those of the others: document kept, content replaced."""
+    compiled = wiki.compile_pages(docs(spark, d), table(spark, d, "chunks"), today=datetime.date.fromisoformat(X.TODAY))
+    old, new = (cut(compiled.where((F.col("document_id") % 2 == 0) == even)) for even in (True, False))
+    kept = wiki.upsert(old.where("false").withColumn("reviewed", F.lit(True)), old)
+    return wiki.upsert(kept, new).select("slug", "document_id", "title")
+
+
 def _linked(spark, d):
     """Pages whose text links to the next document's page and, for every fifth, to a missing one."""
     slug = F.concat(F.lit("trang-so-"), F.col("doc_id").cast("string"), F.lit("-x"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vanthu.functions import dims, text as T
 from vanthu.operators import rag, search
-from vanthu.plans import sqltext as S
+from vanthu.plans import sqltext as S, textsql as TX
 from vanthu.runtime import once, table
 
 QUERIES: dict = {}
@@ -214,9 +214,9 @@ def fts_postings(spark, d):
     return search.postings(docs(spark, d), "doc_id", ["title"]).where("col = 0").select("id", F.lit("title").alias("col"), "token", F.size("pos").cast("long").alias("tf"))
 
 
-@query(_HITS + ", j AS (SELECT d.*, score, -score * " + S.factor("effectiveness_status") + " AS b FROM hits JOIN documents d ON d.doc_id = hits.id ORDER BY score, doc_id LIMIT 20) SELECT doc_id, doc_number, title, doc_type, issuing_date, effectiveness_status, round(b, 6) AS score, row_number() OVER (ORDER BY b DESC, j.score, doc_id) AS rank FROM j")
+@query(_HITS + ", j AS (SELECT d.*, score, -score * " + S.factor("effectiveness_status") + " AS b FROM hits JOIN documents d ON d.doc_id = hits.id ORDER BY score, doc_id LIMIT 20) SELECT doc_id, doc_number, title, doc_type, issuing_date, effectiveness_status, round(b, 6) AS score, row_number() OVER (ORDER BY b DESC, j.score, doc_id) AS rank, " + TX.highlight("coalesce(content_markdown, '')", TEXT) + " AS snippet FROM j")
 def q_search_documents(spark, d):
-    return search.search_documents(docs(spark, d), TEXT, index=doc_index(spark, d)).drop("snippet").withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("long"))
+    return search.search_documents(docs(spark, d), TEXT, index=doc_index(spark, d)).withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(_HITS + " SELECT count(*) AS total FROM hits JOIN documents d ON d.doc_id = hits.id WHERE effectiveness_status = 'con_hieu_luc'")
