@@ -29,7 +29,7 @@ from vanthu.llm.tokenizer import DEFAULT_VOCABULARY, count_tokens
 from vanthu.runtime import cut
 
 CAPACITY = 2048
-ITEMS_IN_BLOCK = 3000
+ITEMS_IN_BLOCK = 5000
 #: Differencing is repeated while it closes at least one window in so many.
 LEAST_CLOSED = 200
 
