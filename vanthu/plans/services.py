@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vanthu.functions import formats
 from vanthu.operators import chat, ingest, models, relations
-from vanthu.plans import pipeline as P, sqltext as S, wikisql as X
+from vanthu.plans import pipeline as P, sqltext as S, textsql as TX, wikisql as X
 from vanthu.runtime import scratch, table
 from vanthu.sources import files
 from vanthu.sources.store import Store
@@ -189,7 +189,7 @@ def q_upload(spark, _d):
     return ended.join(steps, "file_name").select("file_name", "state", "steps", F.regexp_replace("error_message", r"(trùng với).*", "$1").alias("message"))
 
 
-@query()
+@query("WITH " + TX.PIECES + " SELECT id AS doc_id, 'upload' AS source, i AS index, md5(text) AS h FROM pc")
 def snk_chunks_json(spark, d):
     """The pieces of every document's text written as JSON, one folder each, and read again."""
     out = scratch(spark, "chunks")
