@@ -77,3 +77,16 @@ def test_requests_that_change_tables_need_a_store(spark, small):
     hits, total, facets = Engine(spark, small).search_page("khoản", size=5)
     assert hits.count() == 5 <= total and facets.count() > 0
     assert "".join(Engine(spark, small).stream("xin chào")).endswith("data: [DONE]\n\n")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from vanthu import cli
+
+    (tmp_path / "corpus").mkdir()
+    (tmp_path / "corpus" / "aaaaaaaaaaaa-1.json").write_text('{"source_id": "s", "chunks": [\n{"index": 0, "text": "QUYẾT ĐỊNH\\nVề việc nạo vét kênh chính", "document_number": "1/QD-X"},\n{"index": 0, "text": "Văn bản khác", "document_number": "2/QD-X"}]}')
+    (tmp_path / "corpus" / "bad.json").write_text("{")
+    store = str(tmp_path / "store")
+    run = lambda *args: cli.main([str(tmp_path / "corpus"), *args, "--store", store], spark)
+    run("load"), run("load"), run("compile", "--limit", "1"), run("compile"), run("compile"), run("compile", "--all"), run("lint"), run("status")
+    out = capsys.readouterr().out
+    assert [line for line in out.split("\n") if ":" in line] == ["loaded: 2", "loaded: 0", "compiled: 1", "compiled: 1", "compiled: 0", "compiled: 2"] and "warn" in out and "wiki_pages" in out

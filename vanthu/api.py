@@ -38,7 +38,9 @@ class Engine:
     def _index(self, name: str) -> search.TextIndex:
         """The text index of a table, built once for each state of it."""
         key, columns = {"documents": ("doc_id", search.DOC_COLUMNS), "chunks": ("id", search.CHUNK_COLUMNS)}[name]
-        return once(self.spark, (name, self.folder, self.store.version() if self.store else 0), lambda: search.build_index(self._t(name), key, columns))
+        rows = self._t(name)
+        columns = [c for c in (*columns, "summary") if c in rows.columns]
+        return once(self.spark, (name, self.folder, self.store.version() if self.store else 0), lambda: search.build_index(rows, key, columns))
 
     def _own(self) -> Store:
         if self.store is None:
@@ -260,10 +262,14 @@ class Engine:
         told = models.wiki_parts(self._t("documents"), self.model) if self.model else None
         return wiki.compile_wiki(self._t("documents"), self._t("chunks"), told=told)
 
-    def compile_stored(self, doc_id: int | None = None) -> int:
-        """Compiles all documents, or one, into the stored pages; returns how many."""
+    def compile_stored(self, doc_id: int | None = None, limit: int | None = None, again: bool = True) -> int:
+        """Compiles all documents, or one, or the first ``limit`` by id, into the stored pages; returns how many. Without ``again``, those that have no page yet."""
         docs = self._own().read("documents")
-        return incremental.store_pages(self.store, docs if doc_id is None else docs.where(F.col("doc_id") == doc_id))
+        if doc_id is not None:
+            docs = docs.where(F.col("doc_id") == doc_id)
+        if not again:
+            docs = docs.join(self.store.read("wiki_pages").select(F.col("document_id").alias("doc_id")).distinct(), "doc_id", "left_anti")
+        return incremental.store_pages(self.store, docs.orderBy("doc_id").limit(limit) if limit else docs)
 
     def lint_wiki(self) -> DataFrame:
         return wiki.lint(cut(self.compile_wiki()), self._t("documents"))

@@ -65,15 +65,12 @@ derived("join_lint_expired", "q_lint_wiki", ["slug"], where="expired")
 derived("join_lint_links", "q_lint_wiki", ["slug", "broken"], where="broken > 0")
 derived("agg_lint_issues", "q_lint_wiki", ["slug", "broken", "expired", "orphan"], where="lint_status <> 'ok'")
 derived("fn_lint_status", "q_lint_wiki", ["slug", "lint_status"])
-derived("dml_update_lint", "q_lint_wiki", ["slug", "lint_status"])
 derived("join_lint_pages_orphan", "q_lint_pages", ["slug"], where="orphan")
 derived("join_lint_pages_links", "q_lint_pages", ["slug", "broken"], where="broken > 0")
 derived("flt_lint", "q_lint_pages", ["slug"], where="lint_status <> 'ok'")
 derived("join_lint_pages_expired", "q_lint_pages", ["slug"], where="expired")
 derived("agg_lint_pages_issues", "q_lint_pages", ["slug", "broken", "expired", "orphan"], where="lint_status <> 'ok'")
-derived("dml_update_lint_pages", "q_lint_pages", ["slug", "lint_status"])
 derived("agg_wiki_status", "q_wiki_status", ["wiki_pages", "reviewed", "pending_review", "lint_issues"])
-derived("str_sse", "fn_sse_event", ["n", "data"])
 derived("fn_summary_fallback", "q_compile_wiki", ["document_id", "summary"])
 derived("fn_obsidian_md", "q_compile_wiki", ["document_id", "markdown"])
 derived("q_compile_all", "q_compile_wiki", ["slug", "document_id", "markdown"])

@@ -9,7 +9,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from vanthu.functions import formats
-from vanthu.operators import chat, ingest, models, relations
+from vanthu.operators import chat, guard, ingest, models, relations
 from vanthu.plans import pipeline as P, sqltext as S, textsql as TX, wikisql as X
 from vanthu.runtime import scratch, table
 from vanthu.sources import files
@@ -156,6 +156,23 @@ def str_startup_bg(spark, _d):
     return spark.createDataFrame([(first["documents"], again, first["indexed"], engine.store.read("doc_relations").count())], "documents long, again long, indexed long, relations long")
 
 
+@query("SELECT doc_id AS n, CASE WHEN answer IS NULL THEN 'data: {\"type\":\"progress\",\"node\":\"retrieve\"}' ELSE 'data: {\"type\":\"answer\",\"node\":\"guard\",\"content\":\"' || answer || '\"}' END || chr(10) || chr(10) AS data FROM (" + TX.ROUTE + ") UNION ALL SELECT max(doc_id) + 1, 'data: [DONE]' || chr(10) || chr(10) FROM documents")
+def str_sse(spark, d):
+    """Event lines of a stream of questions: the canned answer, or that the retrieval has begun."""
+    folder = scratch(spark, "sse")
+    asked = docs(spark, d).select("doc_id", F.col("title").alias("question"))
+    asked.write.parquet(f"{folder}/in")
+
+    def step(batch, n):
+        routed = guard.route(batch)
+        known = F.col("answer").isNotNull()
+        events = routed.select(F.col("doc_id").alias("n"), F.when(known, "answer").otherwise("progress").alias("type"), F.when(known, "guard").otherwise("retrieve").alias("node"), F.col("answer").alias("content"))
+        incremental.sse(events).write.parquet(f"{folder}/out/{n}")
+
+    incremental.new_rows(spark, asked.schema, f"{folder}/in", step, f"{folder}/seen")
+    return spark.read.parquet(f"{folder}/out/*")
+
+
 # ---- uploads
 def _docx(text: str) -> bytes:
     out = io.BytesIO()
@@ -277,6 +294,17 @@ def dml_insert(spark, d):
     return store.read("chunks").select("id", "document_id", F.md5("text").alias("h"))
 
 
+@query(f"WITH {X.LINT} SELECT slug, lint_status FROM ls")
+def dml_update_lint(spark, d):
+    """The compiled pages stored, linted, and their status kept with them."""
+    from vanthu.api import Engine
+
+    store = Store(spark, scratch(spark, "lint"))
+    store.commit(append={"documents": docs(spark, d), "wiki_pages": P._pages(spark, d)})
+    Engine(spark, "", store=store).lint_stored()
+    return store.read("wiki_pages").select("slug", "lint_status")
+
+
 # ---- sessions
 @query("WITH " + P._MSG + " SELECT session_id, 'sum ' || count(*) FILTER (WHERE role <> 'system') AS summary FROM m GROUP BY 1 HAVING count(*) FILTER (WHERE role <> 'system') >= 4 AND length(string_agg(content, '')) >= 1")
 def q_chat_summarise(spark, d):
