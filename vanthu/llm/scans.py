@@ -339,18 +339,28 @@ def repair_words(lines: list[str], lexicon: Lexicon, several: list[tuple[int, in
     return out
 
 
-def neighbours(lines: list[str]) -> list[list[tuple[str | None, str, str | None]]]:
-    """For every line the (word before, word, word after) of its tokens; a blank line has no words and parts those around it."""
-    words = [[word_of(t) for t in s.split(" ")] if s else [] for s in lines]
-    flat: list[str | None] = [None]
-    for ws in words:
-        flat += ws or [None]
-    flat.append(None)
-    out, at = [], 1
-    for ws in words:
-        out.append([(flat[at + k - 1], w, flat[at + k + 1]) for k, w in enumerate(ws)])
-        at += len(ws) or 1
-    return out
+def beside(lines: list[list[str]], line: int, pos: int) -> tuple[str | None, str | None]:
+    """The words before and after a token of the lines' tokens; a blank line has none and parts those around it."""
+    last, nxt = lines[line - 1] if line else [], lines[line + 1] if line + 1 < len(lines) else []
+    before = lines[line][pos - 1] if pos else last[-1] if last else ""
+    after = lines[line][pos + 1] if pos + 1 < len(lines[line]) else nxt[0] if nxt else ""
+    return word_of(before) or None, word_of(after) or None
+
+
+class _Coded(dict):
+    """token -> twice the number of its word, plus one for a word in ``forms``; 0 for no word. ``words`` are the words by number."""
+
+    def __init__(self, forms: set[str]):
+        super().__init__()
+        self.forms, self.words, self.numbers = forms, [""], {"": 0}
+
+    def __missing__(self, token: str) -> int:
+        w = word_of(token)
+        n = self.numbers.setdefault(w, len(self.words))
+        if n == len(self.words):
+            self.words.append(w)
+        code = self[token] = 2 * n + (w in self.forms)
+        return code
 
 
 _LINE = "table_name string, id long, version long, line int, s string, asks array<struct<pos:int,before:string,after:string,forms:array<struct<form:string,token:string>>>>"
@@ -373,9 +383,9 @@ def _repaired(shared):
                 fixed = repair_words(_kept(rewrite(text), lex), lex, several)
                 asks: dict[int, list] = defaultdict(list)
                 if several:
-                    near = neighbours(fixed)
+                    tokens = [s.split(" ") if s else [] for s in fixed]
                     for line, pos, read in several:
-                        left, _, right = near[line][pos]
+                        left, right = beside(tokens, line, pos)
                         asks[line].append({"pos": pos, "before": left, "after": right, "forms": [{"form": f, "token": token} for f, token in read]})
                 b = text.encode("utf-8", "surrogatepass")
                 version = zlib.crc32(b) << 31 ^ zlib.adler32(b)
@@ -390,15 +400,18 @@ def _pairs(shared, table):
     """(pair, m): counts of the adjacent words of clean records, of all pairs in a bit table and few others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rewrite, bits, held = _rewriter(), table.value, Counter()
+        rewrite, bits = _rewriter(), table.value
         forms = {w for ws in _lexicon(shared).by_skeleton.values() if len(ws) > 1 for w in ws}
+        coded, held, n = _Coded(forms), [], 0
 
         def out() -> pa.RecordBatch:
+            keys, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             rows = []
-            for (a, b), n in held.items():
-                h = zlib.crc32((pair := f"{a} {b}").encode()) % BLOOM_BITS
+            for k, m in zip(keys.tolist(), counts.tolist()):
+                pair = f"{coded.words[k >> 33]} {coded.words[(k & 0xFFFFFFFF) >> 1]}"
+                h = zlib.crc32(pair.encode("utf-8", "surrogatepass")) % BLOOM_BITS
                 if int(bits[h >> 6]) >> (h & 63) & 1:
-                    rows.append((pair, n))
+                    rows.append((pair, m))
             held.clear()
             cols = list(zip(*rows)) if rows else [[], []]
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64())], names=["pair", "m"])
@@ -411,12 +424,19 @@ def _pairs(shared, table):
                 lines = page_lines(text)
                 if scanned(text, lines):
                     continue
-                flat: list[str | None] = []
+                flat: list[str] = []
                 for s in joined(lines):
-                    flat += map(word_of, s.split()) if s else [None]
-                held.update((a, b) for a, b in zip(flat, flat[1:]) if a and b and (a in forms or b in forms))
-                if len(held) > 200_000:
+                    flat += s.split() if s else [""]
+                c = np.fromiter(map(coded.__getitem__, flat), dtype=np.int64, count=len(flat))
+                a, b = c[:-1], c[1:]
+                keep = (a > 1) & (b > 1) & (((a | b) & 1) == 1)
+                held.append((a[keep] << 32) | b[keep])
+                n += len(c)
+                if n > 3_000_000:
                     yield out()
+                    n = 0
+                    if len(coded) > 400_000:
+                        coded = _Coded(forms)
         yield out()
 
     return run
