@@ -45,7 +45,8 @@ _PAGE_NUMBER = re.compile(r"^\W{0,3}\s*(?:(?:trang|tr|page|p)\b\.?\s*)?\W{0,2}\s
 _DIVIDED = re.compile(rf"[^\W\d_][{MARKS}]\s*$")
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 _LETTER = re.compile(r"[^\W\d_]")
-_INNER_SIGN = re.compile(r"[^\W\d_][\^~*•¢|`'@][^\W\d_]")
+_SIGNS_INSIDE = "^~*•¢|`'@"
+_INNER_SIGN = re.compile(rf"[^\W\d_][{re.escape(_SIGNS_INSIDE)}][^\W\d_]")
 _CAPITAL = re.compile(r"[^\W\d_]")
 _ITEM = re.compile(r"^(?:#|\||(?:Điều|Dieu|Article)\s+\d|\d{1,3}\.\s|[a-zđ]\)\s|- |Căn cứ|Theo đề nghị)")
 # Strings a scanner confuses, with the one that stands for them in a skeleton; longer ones first.
@@ -87,10 +88,15 @@ def page_lines(text: str) -> list[tuple[str, str]]:
     out = []
     for line in text.split("\n"):
         s = line.strip()
-        out.append((s, "blank" if not s else "mark" if _PAGE_MARK.fullmatch(s) else "page_number" if is_page_number(s) else "text"))
+        out.append((s, "blank" if not s else "mark" if s[0] == "[" and _PAGE_MARK.fullmatch(s) else "page_number" if is_page_number(s) else "text"))
     return out
 
 
+def _ends_divided(s: str) -> bool:
+    """Whether a line, white space at its ends off, ends in a letter and a mark."""
+    return bool(s) and s[-1] in MARKS and bool(_DIVIDED.search(s[-2:]))
+
+
 def _unfinished(s: str) -> bool:
     return bool(s) and s[-1] not in ".;:!?|/" and not s.isupper() and not s.startswith("#")
 
@@ -109,7 +115,7 @@ def intruders(lines: list[tuple[str, str]]) -> list[tuple[int, bool, bool]]:
             continue
         before = lines[texts[j - 1]][0] if j else ""
         after = lines[texts[j + 1]][0] if j + 1 < len(texts) else ""
-        strong = bool(_DIVIDED.search(before))
+        strong = _ends_divided(before)
         at_page = k and lines[k - 1][1] in ("mark", "page_number") or k + 1 < len(lines) and lines[k + 1][1] in ("mark", "page_number")
         interrupts = _unfinished(before) and after[:1].islower()
         out.append((k, strong or bool(at_page and interrupts), strong or interrupts))
@@ -119,7 +125,7 @@ def intruders(lines: list[tuple[str, str]]) -> list[tuple[int, bool, bool]]:
 def divided(lines: list[tuple[str, str]]) -> bool:
     """Whether a word is divided by a mark over a line end, page lines between its parts not counted."""
     for k, (s, kind) in enumerate(lines[:-1]):
-        if kind == "text" and _DIVIDED.search(s):
+        if kind == "text" and _ends_divided(s):
             rest = next((x for x, kd in lines[k + 1 :] if kd == "text"), "")
             if rest[:1].islower() or lines[k + 1][1] != "text":
                 return True
@@ -130,7 +136,7 @@ def divided(lines: list[tuple[str, str]]) -> bool:
 
 def scanned(text: str, lines: list[tuple[str, str]]) -> bool:
     """Whether a record carries any sign of scanning that needs no vocabulary."""
-    return bool(_INNER_SIGN.search(text)) or any(k == "page_number" for _, k in lines) or divided(lines)
+    return any(c in text for c in _SIGNS_INSIDE) and bool(_INNER_SIGN.search(text)) or any(k == "page_number" for _, k in lines) or divided(lines)
 
 
 def _rewriter() -> Rewriter:
@@ -297,8 +303,8 @@ def joined(lines: list[tuple[str, str]]) -> list[str]:
             if kind == "blank":
                 out.append("")
             continue
-        if out and out[-1] and _DIVIDED.search(out[-1]) and s[:1].islower():
-            out[-1] = out[-1].rstrip()[:-1] + s
+        if out and s[:1].islower() and _ends_divided(out[-1]):
+            out[-1] = out[-1][:-1] + s
         else:
             out.append(s)
     return out
@@ -312,6 +318,9 @@ def repair_words(lines: list[str], lexicon: Lexicon, several: list[tuple[int, in
     out = []
     for line in lines:
         tokens = line.split()
+        if not any(map(lexicon.state.__getitem__, tokens)):
+            out.append(" ".join(tokens))
+            continue
         k = 0
         fixed: list[str] = []
         while k < len(tokens):
