@@ -21,10 +21,11 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    from vanthu.runtime import ship_package
+    from vanthu.runtime import remove_scratch, ship_package
 
     ship_package(session)
     yield session
+    remove_scratch(session)
     session.stop()
 
 

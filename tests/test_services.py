@@ -90,3 +90,19 @@ def test_command_line(spark, tmp_path, capsys):
     run("load"), run("load"), run("compile", "--limit", "1"), run("compile"), run("compile"), run("compile", "--all"), run("lint"), run("status")
     out = capsys.readouterr().out
     assert [line for line in out.split("\n") if ":" in line] == ["loaded: 2", "loaded: 0", "compiled: 1", "compiled: 1", "compiled: 0", "compiled: 2"] and "warn" in out and "wiki_pages" in out
+
+
+def test_index_of_nothing_and_its_plan(spark, small):
+    from vanthu.operators import search, vectors
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    empty = search.build_index(docs.limit(0), "doc_id", search.DOC_COLUMNS)
+    assert empty.rows == 0 and search.bm25(empty, "giếng khoan").count() == 0 and search.bm25(empty, "!!").count() == 0
+    index = search.build_index(docs, "doc_id", ["title"])
+    plan = search.phrase_counts(index, "khoan")._jdf.queryExecution().toString()
+    assert "StringStartsWith(token,khoan)" in plan and search.phrase_counts(index, "không-có zzz").count() == 0
+    none = spark.createDataFrame([(1, None), (2, [])], "vec_id long, embedding array<float>")
+    assert vectors.search(vectors.build(none), none.selectExpr("vec_id as query_id", "embedding"), 3, 1).count() == 0
+    few = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0]), (4, [1.0]), (5, None)], "vec_id long, embedding array<float>")
+    got = vectors.search(vectors.build(few, cells=2), few.where("vec_id = 1").selectExpr("vec_id as query_id", "embedding"), 3, 2)
+    assert [(r.vec_id, r.score) for r in got.orderBy("vec_id").collect()] == [(1, 1.0), (2, 0.0), (3, 1.0)]

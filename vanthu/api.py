@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vanthu.functions import text as T
 from vanthu.operators import chat, docgen, guard, ingest, models, rag, relations, search, uploads, wiki
-from vanthu.runtime import cut, once, table
+from vanthu.runtime import cut, once, remove_scratch, table
 from vanthu.sources import files
 from vanthu.sources.store import Store
 from vanthu.streaming import incremental
@@ -47,6 +47,10 @@ class Engine:
             raise ValueError("this request changes tables and needs a store")
         return self.store
 
+    def close(self) -> None:
+        """Deletes what the session has written to the shared folder besides its tables: indexes and intermediate results."""
+        remove_scratch(self.spark)
+
     # ---- search and documents
     def search(self, query: str = "", page: int = 1, size: int = 20, **filters) -> DataFrame:
         """Fused search where an encoder is given and the query is not blank, else full text."""
