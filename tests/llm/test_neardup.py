@@ -36,6 +36,7 @@ def brute(texts):
 @pytest.mark.parametrize("limit", [N.SHARD_LIMIT, 2])
 def test_pairs_against_brute_force(spark, monkeypatch, limit):
     monkeypatch.setattr(N, "SHARD_LIMIT", limit)
+    monkeypatch.setattr(N, "COPIES_BROADCAST", N.COPIES_BROADCAST if limit > 2 else 0)
     if limit == 2:
         monkeypatch.setattr(N, "LEAF", 2)
     texts = corpus()

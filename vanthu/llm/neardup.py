@@ -41,10 +41,11 @@ LEAF = 32
 SHARD_LIMIT = 8192  # members of one shard compared in one task; the pairs of a larger shard are spread over tiles of half that size
 #: One record in so many tells, before anything is placed, which shards are large. The result does not depend on it.
 SAMPLE = 64
+COPIES_BROADCAST = 1_000_000  # rows that are copies of others are broadcast up to so many, else all rows are grouped by copy
 HOT_BROADCAST = 100_000  # large shards are broadcast up to so many, else joined
 #: Bits of the table of records in a pair: the least, the most (128 megabytes), and how many a record.
 BLOOM_BITS, BLOOM_MOST, BLOOM_EACH = 1 << 24, 1 << 30, 16
-TASK_BYTES, ROW_BYTES = 128 << 20, 48  # rows of a shard task in memory
+TASK_BYTES, ROW_BYTES = 96 << 20, 48  # rows of a shard task in memory
 _rng = np.random.default_rng(20240607)
 _MULTIPLIERS = (_rng.integers(1, 1 << 32, SLOTS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _LAYOUT = [np.concatenate([_rng.permutation(SLOTS).reshape(-1, r) for _ in range(-(-b * r // SLOTS))])[:b] for b, r in BANDS]
@@ -438,10 +439,17 @@ def texts_of(documents: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def versions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, links): (t, id, rep) of every record of enough words, and (t, a, b) between representatives of copies."""
-    sigs = cut(signatures(rows, common_runs(rows)))
-    reps = sigs.groupBy("t", "copy").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sig2").alias("sig2"))
-    members = cut(sigs.select("t", "id", "copy").join(reps.select("t", "copy", "rep"), ["t", "copy"]).select("t", "id", "rep").distinct())
-    found = candidates(reps.select("t", "copy", F.col("rep").alias("id"), "n", "sig", "sig2"))
+    sigs = cut(signatures(rows, common_runs(rows)).withColumn("row", F.monotonically_increasing_id()))
+    first = sigs.groupBy("t", "copy").agg(F.min(F.struct("id", "row")).alias("m"), F.count(F.lit(1)).alias("rows"))
+    members = cut(sigs.select("t", "id", "row", "copy").join(first, ["t", "copy"]).select("t", "id", "row", F.col("m.id").alias("rep"), (F.col("row") != F.col("m.row")).alias("more")))
+    # the slots stay where they are where few rows are copies, which is known by then; else they move once, by copy
+    more = members.where("more").select("row")
+    if more.count() <= COPIES_BROADCAST:
+        reps = sigs.join(F.broadcast(more), "row", "left_anti")
+    else:
+        reps = sigs.groupBy("t", "copy").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sig2").alias("sig2"))
+    found = candidates(reps.select("t", "copy", "id", "n", "sig", "sig2"))
+    members = members.select("t", "id", "rep").distinct()
     return members, cut(exact_pairs(rows, found))
 
 

@@ -10,7 +10,8 @@ flow into paragraphs, decided by a SQL window over consecutive lines.
 
 Characters are first brought to one form by the rewriting of problem 1, so look-alike letters are not misreadings.
 Defined cases: null and empty text has no noise and stays; ``[[PAGE_n]]`` lines and the document's own head are no noise;
-plain line breaks inside a paragraph are no noise; repeated rows count once (by id); texts of any length are treated whole;
+plain line breaks inside a paragraph are no noise; a line of more than 100 characters is no running header; repeated rows
+count once (by id), of different texts under one id paragraphs come from one; texts of any length are treated whole;
 ties between forms go to the more frequent, then the lower one; extra columns are ignored.
 """
 
