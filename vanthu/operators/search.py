@@ -21,6 +21,7 @@ from vanthu.runtime import cut, scratch, stored
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 DOC_COLUMNS = ["doc_number", "title", "content_markdown", "issuing_authority"]
 CHUNK_COLUMNS = ["text"]
+SLICE = 100  # rows whose postings are made at once: their tokens are Python objects meanwhile
 _POSTINGS = "token string, id long, col short, pos array<int>, d int"
 
 
@@ -34,7 +35,7 @@ class TextIndex(NamedTuple):
 
 def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The postings of (id, index form of each column), and for each row one with an empty token, which holds its length."""
-    for batch in batches:
+    for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
         ids = batch.column(0).to_pylist()
         columns = [[t.split() for t in batch.column(k).to_pylist()] for k in range(1, batch.num_columns)]
         lengths = [sum(len(c[r]) for c in columns) for r in range(len(ids))]
@@ -63,7 +64,7 @@ def postings(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
 def build_index(df: DataFrame, id_col: str, columns: list[str]) -> TextIndex:
     """The index of ``columns``, written to the shared folder. A token of every row lies in as many files as it needs."""
     spark, path = df.sparkSession, scratch(df.sparkSession, "index")
-    stored(postings(df, id_col, columns), "postings").repartitionByRange("token", "id").sortWithinPartitions("token", "id").write.option("parquet.block.size", 16 << 20).parquet(path)
+    stored(postings(df, id_col, columns), "postings").repartitionByRange("token", "id").sortWithinPartitions("token", "id").write.options(**{"parquet.block.size": 16 << 20, "compression": "zstd"}).parquet(path)
     kept = spark.read.schema(_POSTINGS).parquet(path)
     n, mean = kept.where("token = ''").groupBy("id").agg(F.first("d").alias("d")).agg(F.count(F.lit(1)), F.avg("d")).first()
     return TextIndex(kept, n, mean or 1.0)
