@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from vanthu.llm.lookalike import Rewriter, static_mapping
+from vanthu.llm.lookalike import TWINS, Rewriter, static_mapping
 from vanthu.llm.neardup import BLOOM_BITS, _bloom
 from vanthu.runtime import cut, stored
 
@@ -140,16 +140,30 @@ def scanned(text: str, lines: list[tuple[str, str]]) -> bool:
     return any(c in text for c in _SIGNS_INSIDE) and bool(_INNER_SIGN.search(text)) or any(k == "page_number" for _, k in lines) or divided(lines)
 
 
-def _rewriter() -> Rewriter:
-    """The rewriting of problem 1 by its fixed classes. Which member stands for a class does not matter here, so nothing is counted for it."""
+def _rewriter(shared=None) -> Rewriter:
+    """The rewriting of problem 1 by its fixed classes; which member stands for a class does not matter here. Words wholly of
+    another alphabet are rewritten once the broadcast lexicon tells which of them imitate Latin ones."""
     if not _KEPT_REWRITER:
         _KEPT_REWRITER.append(Rewriter(static_mapping()))
+    _KEPT_REWRITER[0].words = shared.value[3] if shared else frozenset()
     return _KEPT_REWRITER[0]
 
 
 _KEPT_REWRITER: list[Rewriter] = []
 
 
+def _imitations(words: DataFrame) -> frozenset[str]:
+    """Of the counted words (key, n, m) and their parts those of Latin twins that occur more often in Latin letters, in the cases
+    they are written in. The Latin word must be well known by its share, so there are at most 10^6, for each as many spellings as letters have twins."""
+    lower = {k.lower(): v.lower() for k, v in TWINS.items() if k.isupper()} | {k: v for k, v in TWINS.items() if k.islower()}
+    parts = words.select(F.explode(F.split("key", r"[^\p{L}\p{M}\p{N}]+")).alias("key"), (F.col("n") + F.col("m")).alias("c")).groupBy("key").agg(F.sum("c").alias("c"))
+    parts = cut(parts.where("key <> ''"))
+    least = max(KNOWN_LEAST, KNOWN_SHARE * (parts.agg(F.sum("c")).first()[0] or 0))
+    foreign = parts.where(F.col("key").rlike(f"^[{''.join(lower)}]+$")).select(F.col("key").alias("word"), F.col("c").alias("f"), F.translate("key", "".join(lower), "".join(lower.values())).alias("key"))
+    got = foreign.join(parts.where(F.col("c") >= least), "key").where("c > f").select("word").collect()
+    return frozenset(v for r in got for v in (r["word"], r["word"].capitalize(), r["word"].upper()) if set(v) <= TWINS.keys())
+
+
 def _gather():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rewrite = _rewriter()
@@ -259,8 +273,8 @@ _KEPT_LEXICON: dict[str, Lexicon] = {}
 
 
 def _lexicon(shared) -> Lexicon:
-    """The lexicon of a broadcast (words, shapes, name), built once in each worker."""
-    words, shapes, name = shared.value
+    """The lexicon of a broadcast (words, shapes, name, imitating words), built once in each worker."""
+    words, shapes, name, _ = shared.value
     if name not in _KEPT_LEXICON:
         _KEPT_LEXICON.clear()
         _KEPT_LEXICON[name] = Lexicon(words, shapes)
@@ -276,7 +290,7 @@ def learn(rows: DataFrame):
     rate = F.col("n") * F.lit(float(m)) >= F.col("m") * F.lit(CLEAN_PART * n)
     known = words.where((F.col("n") >= max(KNOWN_LEAST, KNOWN_SHARE * n)) & rate & F.col("key").rlike(r"^\p{L}+$")).select("key", "n").collect()
     shapes = stats.where((F.col("kind") == "s") & (F.col("m") >= 2) & (F.col("m") >= HEADER_SHARE * F.col("n")) & (F.col("n") >= KNOWN_SHARE * n)).select("key").collect()
-    return rows.sparkSession.sparkContext.broadcast(({r["key"]: r["n"] for r in known}, {r["key"] for r in shapes}, uuid.uuid4().hex))
+    return rows.sparkSession.sparkContext.broadcast(({r["key"]: r["n"] for r in known}, {r["key"] for r in shapes}, uuid.uuid4().hex, _imitations(words)))
 
 
 def noises(text: str, lexicon: Lexicon) -> list[str]:
@@ -383,7 +397,7 @@ def _repaired(shared):
     forms: their position, the words around them, and their forms, most frequent first. Equal texts have one version."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rewrite, lex = _rewriter(), _lexicon(shared)
+        rewrite, lex = _rewriter(shared), _lexicon(shared)
         for batch in batches:
             out = []
             for t, i, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -410,7 +424,7 @@ def _pairs(shared, table):
     """(pair, m): counts of the adjacent words of clean records, of all pairs in a bit table and few others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rewrite, bits = _rewriter(), table.value
+        rewrite, bits = _rewriter(shared), table.value
         forms = {w for ws in _lexicon(shared).by_skeleton.values() if len(ws) > 1 for w in ws}
         coded, held, n = _Coded(forms), [], 0
 
@@ -483,7 +497,7 @@ def found(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     shared = learn(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rewrite, lex = _rewriter(), _lexicon(shared)
+        rewrite, lex = _rewriter(shared), _lexicon(shared)
         for batch in batches:
             out = [(t, i, kind) for t, i, text in zip(*(c.to_pylist() for c in batch.columns)) if text for kind in noises(rewrite(text), lex)]
             cols = list(zip(*out)) if out else [[], [], []]
